@@ -6,10 +6,10 @@ the longest first; a later candidate must score strictly more, so the earliest s
 own lattice. A character without a piece of its own costs the unknown score (10 under the least) and counts as its
 UTF-8 bytes where the model falls back to bytes, else as one with its unknown neighbours.
 
-No piece of letters crosses a space mark, so a text is a chain of words and words are cached. The tokenizer sums scores
-in 32-bit floats along the whole text; past 2^24 these sums round, which decides ties. Within one power of two the
-rounding depends on a word only through that power and the parity of the sum's last place, so the cache is keyed by
-the word and these two.
+Scores are summed exactly (whole scores as integers). The tokenizer itself sums 32-bit floats; it agrees as long as
+its sums do not round.
+
+No piece reaches from before a run of space marks into it, so a text is a chain of words and words are cached.
 
 Edge cases: null and empty texts have no tokens. Repeated rows and null ids are kept; an empty table gives no rows.
 """
@@ -20,16 +20,14 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_arrow, texts
 
 MARK = "▁"
-RUNS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")  # no piece crosses from before a run of marks into it
-CACHE_WORDS = 300_000
-EXACT = 1 << 24
+RUNS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+CACHE_WORDS = 400_000
 _COUNTERS: dict[str, Counter] = {}
 
 
@@ -43,80 +41,58 @@ class Counter:
             proto = sentencepiece_model_pb2.ModelProto.FromString(f.read())
         if proto.normalizer_spec.precompiled_charsmap or proto.normalizer_spec.remove_extra_whitespaces:
             raise ValueError("only models that leave texts as they are")
-        self.dummy, self.fallback = proto.normalizer_spec.add_dummy_prefix, proto.trainer_spec.byte_fallback
-        normal = [(p.piece, np.float32(p.score)) for p in proto.pieces if p.type == 1]
         if any(p.type in (4, 5) for p in proto.pieces):
             raise ValueError("models with user-defined or unused pieces are not supported")
-        self.whole = all(float(s).is_integer() for _, s in normal)
-        self.unknown = min(s for _, s in normal) - np.float32(10)
+        normal = {p.piece: int(p.score) if p.score == int(p.score) else p.score for p in proto.pieces if p.type == 1}
+        self.dummy, self.fallback = proto.normalizer_spec.add_dummy_prefix, proto.trainer_spec.byte_fallback
+        self.unknown, self.single = min(normal.values()) - 10, {p for p in normal if len(p) == 1}
         self.automaton = ahocorasick.Automaton()
-        for piece, s in normal:
-            self.automaton.add_word(piece, (len(piece), float(s)))
+        for piece, score in normal.items():
+            self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
-        self.single = {p: float(s) for p, s in normal if len(p) == 1}
-        if any(MARK in p.lstrip(MARK) for p, _ in normal):
-            raise ValueError("a piece crosses words")
-        self.cache: dict = {}
-
-    def lattice(self, chunk: str, base: float) -> tuple[float, int]:
-        """The best sum and its token count from a sum `base` on, in 32-bit floats, as the tokenizer adds them up."""
-        f32, unk = np.float32, self.unknown
+        self.chained = self.fallback and not any(MARK in p.lstrip(MARK) for p in normal)
+        self.cache: dict[str, int] = {}
+
+    def viterbi(self, chunk: str) -> int:
+        """The number of tokens on the best path; only scores and counts are carried."""
         n = len(chunk)
-        best, count, seen = [None] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        best[0] = f32(base)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for end, (size, s) in self.automaton.iter(chunk):
-            ends[end + 1].append((end + 1 - size, s))
-        for e in range(1, n + 1):
-            got = sorted(ends[e])
-            if chunk[e - 1] not in self.single:
-                got.append((e - 1, None))
-            for start, s in got:
-                if best[start] is None:
-                    continue
-                total = best[start] + (unk if s is None else f32(s))
-                if best[e] is None or total > best[e]:
-                    best[e], seen[e] = total, s is None
-                    if s is not None:
-                        count[e] = count[start] + 1
-                    elif self.fallback:
-                        count[e] = count[start] + len(chunk[e - 1].encode())
-                    else:
-                        count[e] = count[start] + (not seen[start])
-        return float(best[n]), count[n]
+        best: list = [None] * (n + 1)
+        count, open_ = [0] * (n + 1), [False] * (n + 1)  # open_: the best path ends in an unknown
+        best[0], end = 0, 0
+
+        def close(e: int) -> None:
+            """Nothing more ends at e: add the unknown where its character has no piece of its own."""
+            c = chunk[e - 1]
+            if c not in self.single and best[e - 1] is not None and (best[e] is None or best[e - 1] + self.unknown > best[e]):
+                best[e], open_[e] = best[e - 1] + self.unknown, True
+                count[e] = count[e - 1] + (len(c.encode()) if self.fallback else not open_[e - 1])
+
+        for last, (size, score) in self.automaton.iter(chunk):
+            while end < last:
+                end += 1
+                close(end)
+            start = last + 1 - size
+            if best[start] is not None and (best[last + 1] is None or best[start] + score > best[last + 1]):
+                best[last + 1], count[last + 1], open_[last + 1] = best[start] + score, count[start] + 1, False
+        while end < n:
+            end += 1
+            close(end)
+        return count[n]
 
     def __call__(self, text: bytes) -> int:
-        chunks = (" " * self.dummy + text.decode("utf-8", "replace")).replace(" ", MARK) if text else ""
-        if not chunks:
+        if not text:
             return 0
-        if not self.whole or not self.fallback:
-            return self.lattice(chunks, 0.0)[1]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache, total, base = self.cache, 0, 0  # base: the sum so far, negated
-        for w in RUNS.findall(chunks):
-            got = cache.get(w)
-            if got is None:
-                s, n = self.lattice(w, 0.0)
-                got = cache[w] = (-int(s), n, sum(map(self.cost, w)) * 65 // 64 + 64)
-            step, n, far = got
-            if base + far >= EXACT:  # sums within the word may round
-                power = base.bit_length()
-                same = (base + far).bit_length() == power
-                key = (w, power, base >> max(0, power - 24) & 1)
-                got = cache.get(key) if same else None
-                if got is None:
-                    s, n = self.lattice(w, -float(base))
-                    got = -int(s) - base, n
-                    if same:
-                        cache[key] = got
-                step, n = got
-            base, total = base + step, total + n
-        return total
-
-    def cost(self, c: str) -> int:
-        """What a path of single characters pays for one: no best sum within a word is beyond these."""
-        return int(-self.single.get(c, self.unknown))
+        marked = (" " * self.dummy + text.decode("utf-8", "replace")).replace(" ", MARK)
+        if not self.chained:
+            return self.viterbi(marked)
+        words = RUNS.findall(marked)
+        try:
+            return sum(map(self.cache.__getitem__, words))
+        except KeyError:
+            if len(self.cache) > CACHE_WORDS:
+                self.cache.clear()
+            self.cache.update((w, self.viterbi(w)) for w in set(words) - self.cache.keys())
+            return sum(map(self.cache.__getitem__, words))
 
 
 def counter(path: str) -> Counter:

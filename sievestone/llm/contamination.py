@@ -49,7 +49,7 @@ class Hashes:
         except KeyError:
             if len(self.cache) > CACHE_WORDS:
                 self.cache.clear()
-            self.cache.update((w, xxh64_intdigest(w, 7)) for w in set(words) - self.cache.keys())
+            self.cache.update((w, xxh64_intdigest(w, 7)) for w in set(words) if w not in self.cache)
             got = np.fromiter(map(self.cache.__getitem__, words), np.uint64, len(words))
         return got
 

@@ -44,7 +44,7 @@ class WordIds:
         except KeyError:
             if len(self.cache) > CACHE_WORDS:
                 self.cache.clear()
-            new = list(set(words) - self.cache.keys())
+            new = [w for w in set(words) if w not in self.cache]
             got = self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
             self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, got, strict=True))
             return b"".join(map(self.cache.__getitem__, words))

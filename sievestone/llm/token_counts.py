@@ -91,7 +91,7 @@ class Counter:
         except KeyError:
             if len(self.cache) > CACHE_WORDS:
                 self.cache.clear()
-            self.cache.update((w, self.viterbi(w)) for w in set(words) - self.cache.keys())
+            self.cache.update((w, self.viterbi(w)) for w in set(words) if w not in self.cache)
             return sum(map(self.cache.__getitem__, words))
 
 

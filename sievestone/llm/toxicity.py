@@ -17,7 +17,6 @@ rows are scored alike. Scoring keeps all rows and, if asked, all columns.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, texts
+from .common import WORD_SPLIT, cut, map_arrow, texts
 from .learning import labelled, sample_of
 
 #: Words of each class that are known without learning.
@@ -38,7 +37,6 @@ REPORTS = "said says wrote writes reported quoted claimed called alleged accordi
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
 CACHE_WORDS = 300_000
-_EDGE = re.compile(r"^[^\w]+|[^\w]+$|['’]s$")
 
 #: One transducer each: state -> {class: (next state, output)}; a class that is not listed goes to state 0, or stays if "*".
 INSULT_FST = {0: {INSULT: (0, "insult")}}
@@ -71,7 +69,13 @@ GRAMMAR = compose(INSULT_FST, THREAT_FST, TARGET_FST, NEGATION_FST, REPORT_FST)
 
 def core(word: bytes) -> str:
     """A word in lower case, without what is not a letter or digit at its ends."""
-    return _EDGE.sub("", word.decode("utf-8", "replace").lower())
+    w = word.decode("utf-8", "replace").lower()
+    a, b = 0, len(w)
+    while a < b and not w[a].isalnum():
+        a += 1
+    while b > a and not w[b - 1].isalnum():
+        b -= 1
+    return w[a : b - 2] if w.endswith(("'s", "’s"), a, b) else w[a:b]
 
 
 class Lexicon:
@@ -93,7 +97,7 @@ class Lexicon:
         except KeyError:
             if len(self.cache) > CACHE_WORDS:
                 self.cache.clear()
-            for w in set(words) - self.cache.keys():
+            for w in [w for w in set(words) if w not in self.cache]:
                 c, end = self._class(w)
                 self.cache[w] = c + 8 * end
             return list(map(self.cache.__getitem__, words))
@@ -156,6 +160,12 @@ def _counts(rows: DataFrame) -> DataFrame:
     return map_arrow(rows, run, "mark string, pos int, neg int").groupBy("mark").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
+def one_of_copies(rows: DataFrame) -> DataFrame:
+    """One of the rows of either class that share their least word hash, as near copies mostly do; rows are a bounded sample."""
+    words = F.split(F.lower(F.coalesce("text", F.lit(""))), WORD_SPLIT)
+    return rows.withColumn("__sketch", F.array_min(F.transform(words, lambda w: F.xxhash64(w)))).dropDuplicates(["__sketch", "__label"])
+
+
 class Model:
     """Learned insult words and stems, and the calibration of the clause features."""
 
@@ -188,20 +198,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 1.0)
     return beta
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, each: int = 3000, least: int = 6, pure: float = 0.97, most: int = 2000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, each: int = 3000, least: int = 24, pure: float = 0.97, most: int = 2000) -> Model:
     """A model of labels.toxic, from the rows outside the held fold.
 
     A mark is learned if at least `least` of the toxic rows have it and its share of toxic rows is at least `pure`,
-    classes weighed alike and one clean row allowed for; at most `most` marks are taken, the most frequent first.
+    classes weighed alike and one clean row allowed for; at most `most` marks are taken, the most frequent first. Copies
+    would make any of their words look telling, so of sampled rows with the same least word hash one is counted; `least`
+    is such that chance alone gives about one such mark in ten million.
     """
-    rows = labelled(docs, sample_of(labels, "toxic", folds, held, each))
+    rows = cut(labelled(docs, sample_of(labels, "toxic", folds, held, each)))
     rate = (F.col("pos") + 0.5) / F.lit(1.0)
     by = {r["toxic"]: r["n"] for r in labels.filter(F.col("toxic").isin(0, 1)).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     fixed = Model([], [], np.array([-3.0, 3.0, 1.0, 1.0, 1.0]))
     if len(by) < 2:
         return fixed
     scale = min(each, by[1]) / max(1, min(each, by[0]))
-    found = _counts(rows).filter((F.col("pos") >= least) & (rate / (rate + (F.col("neg") + 0.5) * scale) >= pure))
+    found = _counts(one_of_copies(rows)).filter((F.col("pos") >= least) & (rate / (rate + (F.col("neg") + 0.5) * scale) >= pure))
     found = [r["mark"] for r in found.orderBy(F.desc("pos"), "mark").limit(most).collect()]
     stems = sorted((m[:-1] for m in found if m.endswith("*")), key=len)
     stems = [s for s in stems if not any(s[:k] in stems for k in range(4, len(s)))]

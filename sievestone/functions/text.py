@@ -5,7 +5,6 @@ What Catalyst can express is built in; stems, NFC and FNV-1a go through Arrow ba
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from functools import lru_cache
 
@@ -13,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 from .stemming import stem
 
@@ -53,7 +53,7 @@ def strip_latin(token: str) -> str:
     return "".join(out)
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(StringType()))
 def stems(t: pd.Series) -> pd.Series:
     """Stems of arrays of folded tokens, Latin diacritics stripped after stemming; order and count stay."""
     return t.map(lambda ws: None if ws is None else [strip_latin(stem(w)) for w in ws])
@@ -68,14 +68,6 @@ def py_fold(s: str) -> str:
     return s.lower().replace("ё", "е")
 
 
-_WORD = re.compile(r"(?:[^\W_]|_)+", re.UNICODE)
-
-
-def _is_token(c: str) -> bool:
-    k = unicodedata.category(c)
-    return k[0] == "L" or k == "Nd"
-
-
 def py_tokens(s: str) -> list[str]:
     """The same runs as TOKEN, on the driver and in workers."""
     import regex
@@ -96,7 +88,7 @@ def py_idents(s: str) -> str:
     return " ".join(out)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
@@ -109,7 +101,7 @@ def fnv1a64_text(data: bytes) -> str:
     return f"{h:x}"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def fnv1a64(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else fnv1a64_text(x.encode()))
 
@@ -119,7 +111,7 @@ def human_size(n: Column) -> Column:
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
     for i, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
         last = unit == "TB"
-        text = F.format_string(f"%.1f {unit}", n / F.lit(float(1024**i)))
+        text = F.format_string(f"%.1f {unit}", F.bround(n / F.lit(float(1024**i)), 1))
         out = out.otherwise(text) if last else out.when(n < 1024 ** (i + 1), text)
     return out
 
@@ -141,4 +133,4 @@ def ancestors(path: Column) -> Column:
 
 def split_list(s: Column) -> Column:
     """A comma list: trimmed, empties dropped."""
-    return F.filter(F.transform(F.split(s, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(s, ","), lambda x: F.trim(x)), lambda x: x != "")

@@ -81,14 +81,18 @@ def parse(raw: bytes) -> dict:
 
 
 def decided(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, html of every page with __refers (the response's page_id) and __revisit."""
+    """page_id, url, html of every page with __refers (the response's page_id) and __revisit.
+
+    Rows are numbered once and stored in the shared folder, so that a number means the same row whenever it is read.
+    """
+    where = f"{shared_dir(pages.sparkSession).rstrip('/')}/pages-{uuid.uuid4().hex}"
     html = F.coalesce(F.col("html"), F.lit(""))
-    slim = cut(pages.select("page_id", F.sha1(html.cast("binary")).alias("__digest"), F.octet_length(html).alias("n"), F.monotonically_increasing_id().alias("__row")))
+    digest = F.when(F.octet_length(html) >= least, F.sha1(html.cast("binary")))
+    pages.select("page_id", "url", "html", digest.alias("__digest"), F.monotonically_increasing_id().alias("__row")).write.parquet(where)
+    rows = pages.sparkSession.read.parquet(where)
     best = F.max(F.struct("page_id", F.negative("__row").alias("r")))
-    twice = cut(slim.filter(F.col("n") >= least).groupBy("__digest").agg(best.alias("b"), F.count("*").alias("n")).filter("n > 1").select("__digest", F.col("b.page_id").alias("__refers"), (-F.col("b.r")).alias("__response")))
-    rows = pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("__row")).withColumn("__digest", F.sha1(html.cast("binary")))
-    if least > 0:
-        rows = rows.withColumn("__digest", F.when(F.octet_length(html) >= least, F.col("__digest")))
+    twice = rows.filter("__digest is not null").groupBy("__digest").agg(best.alias("b"), F.count("*").alias("n")).filter("n > 1")
+    twice = cut(twice.select("__digest", F.col("b.page_id").alias("__refers"), (-F.col("b.r")).alias("__response")))
     rows = rows.join(F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice, "__digest", "left")
     return rows.select("page_id", "url", "html", "__refers", (F.col("__response").isNotNull() & (F.col("__response") != F.col("__row"))).alias("__revisit"))
 

@@ -44,7 +44,7 @@ THREAT_FST = {0: {THREAT: (1, "")}, 1: {TARGET: (0, "threat"), THREAT: (1, ""),
 TARGET_FST = {0: {TARGET: (1, "")}, 1: {INSULT: (1, "aimed"), "*": (1, "")}}
 NEGATION_FST = {0: {NEGATION: (1, "")}, 1: {INSULT: (0, "denied"), THREAT: (0, "denied"), NEGATION: (1, ""), OTHER: (2, ""), TARGET: (1, "")}, 2: {INSULT: (0, "denied"), THREAT: (0, "denied"), NEGATION: (1, "")}}
 REPORT_FST = {0: {REPORT: (1, "")}, 1: {INSULT: (1, "told"), THREAT: (1, "told"), "*": (1, "")}}
-WEIGHTS = {"insult": 1.0, "threat": 1.0, "aimed": 0.6, "denied": -0.7, "told": -0.5}
+WEIGHTS = {"insult": 1.0, "threat": 1.0, "aimed": 0.6, "denied": -0.7, "told": -0.8}
 
 
 def compose(*machines: dict) -> dict[tuple[int, int], tuple[int, float]]:
@@ -160,10 +160,12 @@ def _counts(rows: DataFrame) -> DataFrame:
     return map_arrow(rows, run, "mark string, pos int, neg int").groupBy("mark").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def one_of_copies(rows: DataFrame) -> DataFrame:
-    """One of the rows of either class that share their least word hash, as near copies mostly do; rows are a bounded sample."""
-    words = F.split(F.lower(F.coalesce("text", F.lit(""))), WORD_SPLIT)
-    return rows.withColumn("__sketch", F.array_min(F.transform(words, lambda w: F.xxhash64(w)))).dropDuplicates(["__sketch", "__label"])
+def one_of_copies(rows: DataFrame, width: int = 5) -> DataFrame:
+    """One of the rows of either class that share their least shingle hash, as near copies mostly do; rows are a bounded sample."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), WORD_SPLIT), lambda w: w != "")
+    rows = rows.withColumn("__words", words)
+    hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.size("__words") - width + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("__words", i, width)))
+    return rows.withColumn("__sketch", F.array_min(hashes)).dropDuplicates(["__sketch", "__label"]).drop("__words", "__sketch")
 
 
 class Model:
@@ -203,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, each:
 
     A mark is learned if at least `least` of the toxic rows have it and its share of toxic rows is at least `pure`,
     classes weighed alike and one clean row allowed for; at most `most` marks are taken, the most frequent first. Copies
-    would make any of their words look telling, so of sampled rows with the same least word hash one is counted; `least`
+    would make any of their words look telling, so of sampled rows with the same least shingle hash one is counted; `least`
     is such that chance alone gives about one such mark in ten million.
     """
     rows = cut(labelled(docs, sample_of(labels, "toxic", folds, held, each)))

@@ -167,25 +167,34 @@ def hex64(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def representatives(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
+def representatives(docs: DataFrame, radius: int = 4, width: int = 4, most: int = 1_000_000) -> DataFrame:
     """docs, all columns: of each component the one row with the smallest doc_id.
 
-    Rows are numbered where they are read (a table's rows come back in the same partitions), the kept numbers are
-    found among (number, fingerprint) rows, and only kept rows' texts are ever joined, partition by partition.
+    The kept ids are found among (id, fingerprint) rows; then the documents are joined with them, by broadcast up to
+    `most` ids (some 16 bytes each), else by a shuffle. Ids that occur more than once are few: their rows are
+    fingerprinted again and one row of the kept id and fingerprint stays.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = cut(fingerprints(docs, width))
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("fp").alias("f")))
+    fps = cut(rows.groupBy("fp").agg(low.alias("low")))
+    roots = components(links(fps.select("fp"), fps.count(), radius))
+    named = fps.join(roots, fps.fp == roots.node, "left").select("low", F.coalesce("root", "fp").alias("root"))
+    keep = cut(named.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.doc_id").alias("__id"), F.col("low.f").alias("__fp")))
+    times = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    keep = cut(keep.join(times, F.col("__id").eqNullSafe(F.col("doc_id"))).select("__id", "__fp", "n"))
+    sent = F.broadcast if keep.count() <= most else lambda df: df
+    is_kept = F.col("doc_id").eqNullSafe(F.col("__id"))
+    once = docs.join(sent(keep.filter("n = 1").select("__id")), is_kept, "left_semi")
+    again = keep.filter("n > 1").select("__id", "__fp")
+    if again.isEmpty():
+        return once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t, width) for t in texts(batch)], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__row"), pa.array(fp)], ["doc_id", "__row", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], [*batch.schema.names, "__own"])
 
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("__row"))
-    rows = cut(map_arrow(rows, run, f"doc_id {kind}, __row bigint, fp bigint"))
-    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))
-    fps = cut(rows.groupBy("fp").agg(low.alias("low")))
-    roots = components(links(fps.select("fp"), fps.count(), radius))
-    named = fps.join(roots, fps.fp == roots.node, "left").select("low", F.coalesce("root", "fp").alias("root"))
-    keep = cut(named.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.__row").alias("__row")))
-    small = keep.count() <= 1_000_000  # 8 bytes each
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(F.broadcast(keep) if small else keep, "__row", "left_semi").drop("__row")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __own bigint"
+    several = map_arrow(docs.join(sent(again.select("__id").distinct()), is_kept, "left_semi"), run, schema)
+    several = several.join(sent(again), is_kept & (F.col("__own") == F.col("__fp")), "left_semi").dropDuplicates(["doc_id", "__own"])
+    return once.unionByName(several.drop("__own"))

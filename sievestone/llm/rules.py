@@ -83,7 +83,6 @@ RULES = {
 
 def ordered(rows: DataFrame, rules: dict[str, str], sample_rows: int = 500) -> list[str]:
     """The rules' names by falling rejection per cost on a bounded sample of rows."""
-    spark = rows.sparkSession
     sample = rows.filter(~F.col("base_failed")).limit(sample_rows).cache()
     try:
         n = sample.count()
@@ -101,7 +100,6 @@ def ordered(rows: DataFrame, rules: dict[str, str], sample_rows: int = 500) -> l
         return sorted(rules, key=lambda k: (-rank[k], list(rules).index(k)))
     finally:
         sample.unpersist()
-        spark.catalog  # noqa: B018
 
 
 def cascade(rows: DataFrame, rules: dict[str, str], order: list[str]) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import DISTANCES, normalize_index
+from ..functions.vectors import DISTANCES
+from ..session import map_arrow
 from .lexical import top
 
 MAX_DIM = 8192
@@ -27,19 +32,49 @@ def knn(vectors: DataFrame, query: list[float], k: int, metric: str = "cosine",
 
 
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", column: str = "embedding", key: str = "vec_id", most: int = 10_000) -> DataFrame:
-    """query_id, key, distance, rank: for each query (query_id, q) its k nearest.
+    """query_id, key, distance, rank: for each query (query_id, q) its k nearest; keys are integers.
 
-    The queries go to every task, at most `most` of them at once; more are refused, to be given in blocks. Ranks are
-    taken in the tasks first (top k of each partition by hash of the key), so that no task sorts all rows of a query.
+    At most `most` queries are taken at once and go to every task; more are refused, to be given in blocks. A task keeps
+    k rows for each query while it reads, so only tasks * queries * k rows are shuffled, never all pairs. Distances are
+    ranked at 12 decimals, then by key; a zero vector's cosine is null and ranks last.
     """
-    if queries.limit(most + 1).count() > most:
+    rows = queries.select("query_id", "q").limit(most + 1).collect()
+    if len(rows) > most:
         raise ValueError(f"more than {most} queries at once; give them in blocks")
-    pairs = vectors.crossJoin(F.broadcast(queries)).select("query_id", key, DISTANCES[metric](F.col(column), F.col("q")).alias("distance"))
-    part = F.pmod(F.xxhash64(key), F.lit(64))
-    first = Window.partitionBy("query_id", part).orderBy(F.col("distance").asc_nulls_last(), key)
-    last = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), key)
-    near = pairs.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k).drop("r")
-    return near.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k)
+    ids, matrix = [r["query_id"] for r in rows], np.array([r["q"] for r in rows], np.float64).reshape(len(rows), -1)
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+    kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        best_d, best_k = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+        for batch in batches:
+            keys = batch.column(key).to_numpy()
+            for a in range(0, len(keys), 1024):
+                v = np.array(batch.column(column).slice(a, 1024).to_pylist(), np.float64)
+                d = np.hstack([best_d, np.nan_to_num(np.round(_distances(q, v, metric), 12), nan=np.inf)])
+                n = np.hstack([best_k, np.broadcast_to(keys[a : a + 1024], (len(ids), len(v)))])
+                by = np.lexsort((n, d), axis=1)[:, :k]
+                best_d, best_k = np.take_along_axis(d, by, 1), np.take_along_axis(n, by, 1)
+        count = best_k.shape[1]
+        d = best_d.ravel()
+        at = pa.array(np.repeat(np.arange(len(ids)), count))
+        yield pa.RecordBatch.from_arrays([pa.array(ids).take(at), pa.array(best_k.ravel()), pa.array(d, mask=np.isinf(d))], ["query_id", key, "distance"])
+
+    near = map_arrow(vectors.select(key, column), run, f"query_id {kinds[0]}, {key} {kinds[1]}, distance double")
+    w = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), key)
+    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """All distances between the rows of two matrices."""
+    if metric == "l1":
+        return np.stack([np.abs(v - x).sum(axis=1) for x in q])
+    dots = q @ v.T
+    if metric == "l2":
+        return np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * dots))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 1 - dots / np.sqrt((q * q).sum(1))[:, None] / np.sqrt((v * v).sum(1))[None, :]
 
 
 def semantic(vectors: DataFrame, embed, query: str, k: int, prefix: str = "", **options) -> DataFrame:
@@ -50,6 +85,3 @@ def semantic(vectors: DataFrame, embed, query: str, k: int, prefix: str = "", **
     norm = sum(x * x for x in vector) ** 0.5
     vector = vector if norm < 1e-12 else [x / norm for x in vector]
     return knn(vectors, vector, k, **options).withColumn("score", 1 - F.col("distance"))
-
-
-__all__ = ["knn", "knn_batch", "normalize_index", "semantic"]

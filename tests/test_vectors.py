@@ -63,3 +63,22 @@ def test_knn(spark):
     assert [r.vec_id for r in knn.knn(df, [1, 0, 0, 0], 1, where=F.col("vec_id") != "a").collect()] == ["b"]
     with pytest.raises(ValueError):
         knn.knn(df, [], 3)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "l1"])
+def test_batch_equals_single(spark, metric):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(60)] + [(100, [0.0] * 5), (7, [1.0] * 5), (8, [1.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(1, [1.0] * 5), (2, [0.5, -1.0, 0.0, 2.0, 1.0])], "query_id bigint, q array<float>")
+    got = knn.knn_batch(df, queries, 6, metric).orderBy("query_id", "rank").collect()
+    for q in queries.collect():
+        want = knn.knn(df, list(q.q), 6, metric).collect()
+        mine = [r for r in got if r.query_id == q.query_id]
+        assert [r.distance for r in mine] == pytest.approx([r.distance for r in want], abs=1e-6)
+        assert [r["rank"] for r in mine] == [1, 2, 3, 4, 5, 6]
+    assert knn.knn_batch(df.limit(0), queries, 6, metric).count() == 0
+    with pytest.raises(ValueError):
+        knn.knn_batch(df, queries, 6, metric, most=1)

@@ -16,7 +16,8 @@ they occur. Null ids are carried. An empty table gives no rows. Only the id and
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,29 +26,89 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, texts
 
-CACHE_WORDS = 300_000
+CACHE_WORDS, CACHE_PARTS = 500_000, 500_000
+#: The tokenizer's own cut of a word. Parts are cut here only for words of Latin letters, where it is sure to be the same.
+PARTS = "'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\\s\\p{L}\\p{N}]+"
 _ENCODERS: dict[str, WordIds] = {}
 
 
+class Recent:
+    """A bounded cache in two generations: what was used since the last turn outlives it."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.old = most, {}, {}
+
+    def lacking(self, keys: set) -> set:
+        """The keys that neither generation has; those of the old one are taken over."""
+        if len(self.now) > self.most:
+            self.old, self.now = self.now, {}
+        out = keys.difference(self.now)  # plain dicts: compared without a Python loop
+        new = out.difference(self.old)
+        if len(new) < len(out):
+            self.now.update((k, self.old[k]) for k in out - new)
+        return new
+
+
 class WordIds:
-    """Bytes of a text's ids (little-endian, 4 each), by a bounded cache of words."""
+    """Bytes of texts' ids (little-endian, 4 each), by bounded caches of words and of their parts."""
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
-        self.tok, self.cache = Tokenizer.from_file(path), {}
-
-    def __call__(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            new = [w for w in set(words) if w not in self.cache]
-            got = self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, got, strict=True))
-            return b"".join(map(self.cache.__getitem__, words))
+        self.tok, self.words, self.parts, self.cut = Tokenizer.from_file(path), Recent(CACHE_WORDS), Recent(CACHE_PARTS), regex.compile(PARTS)
+        ends = {i for w, i in self.tok.get_vocab(with_added_tokens=False).items() if w.endswith("</w>")}
+        self.ends = np.array([i in ends for i in range(self.tok.get_vocab_size())])
+        with open(path) as f:
+            self.known_cut = "|[\\\\p{L}]+|[\\\\p{N}]|" in f.read(4000) and bool(ends)
+
+    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text; words are looked up for some megabyte of texts at once."""
+        at = 0
+        while at < len(texts):
+            lists, size = [], 0
+            while at < len(texts) and size < 1 << 20:
+                lists.append(texts[at].split())
+                size, at = size + len(texts[at]), at + 1
+            self.learn(self.words.lacking(set(chain.from_iterable(lists))))
+            get = self.words.now.__getitem__
+            yield from (b"".join(map(get, words)) for words in lists)
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def cut_word(self, s: str) -> list[str] | None:
+        """The parts of a word in lower case, or None where only the tokenizer knows them."""
+        if not (s.isascii() or max(s) < "\u0250" and "\u0130" not in s) or not self.known_cut or len(s) > 1000:
+            return None
+        if s.isalpha():
+            return [s.lower()]
+        if s[-1] in ".," and s[:-1].isalpha():
+            return [s[:-1].lower(), s[-1]]
+        return None if "<|" in s else self.cut.findall(s.lower())
+
+    def learn(self, words: set[bytes]) -> None:
+        plain, other = [], []
+        for w in words:
+            s = w.decode("utf-8", "replace")
+            parts = self.cut_word(s)
+            if parts is None:
+                other.append((w, s))
+            else:
+                plain.append((w, parts))
+        new = list(self.parts.lacking({p for _, ps in plain for p in ps}))
+        if new:  # all at once: each part is one word of the model, and a word's last piece says that it is the last
+            ids = np.array(self.tok.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) == len(new):
+                raw, bounds = ids.tobytes(), [0, *(4 * at).tolist()]
+                self.parts.now.update((p, raw[a:b]) for p, a, b in zip(new, bounds, bounds[1:], strict=False))
+            else:
+                self.parts.now.update(zip(new, self.encoded(new), strict=True))
+        get, out = self.parts.now.__getitem__, self.words.now
+        for w, ps in plain:
+            out[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
+        out.update(zip([w for w, _ in other], self.encoded([s for _, s in other]), strict=True))
 
 
 def encoder(path: str) -> WordIds:
@@ -69,8 +130,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
         encode = encoder(tokenizer)
         for batch in batches:
             at, piece, length, crc, ids = [], [], [], [], []
-            for i, text in enumerate(texts(batch)):
-                raw = memoryview(encode(text) + end)
+            for i, found in enumerate(encode(texts(batch))):
+                raw = memoryview(found + end)
                 for k, a in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[a : a + 4 * capacity]
                     at.append(i)
@@ -129,7 +190,7 @@ def best_fit(lengths: np.ndarray, capacity: int, max_docs: int, max_cost: int, w
     return bins, offsets
 
 
-def _packed(rows: DataFrame, size: int, group: int, level: int, order: Callable, args: tuple) -> DataFrame:
+def _packed(rows: DataFrame, size: int, group: int, level: int, args: tuple) -> DataFrame:
     """One round over checkpointed rows: dealt evenly to groups, each packed on its own."""
     rows = rows.drop("sequence_id", "offset", "fill")
     names, capacity = rows.columns, args[0]
@@ -157,7 +218,7 @@ def pack(rows: DataFrame, capacity: int = 4096, max_docs: int = 4096, max_cost:
     rows = cut(rows)
     size, done, level, args = rows.count(), [], 0, (capacity, max_docs, max_cost, weights, select)
     while True:
-        got = _packed(rows, size, group, level, None, args)
+        got = _packed(rows, size, group, level, args)
         if size <= group:
             done.append(got)
             break

@@ -1,17 +1,17 @@
 """Language-model scoring by cross-entropy difference.
 
-A target model (documents that are labelled as good) and a background model (all other documents) are bigram models of
-the same form: one vocabulary, the `size` most frequent words of the whole corpus and a symbol for all others; one
+A target model (of texts of the wanted kind) and a background model (of the documents) are bigram models of the same
+form: one vocabulary, the `size` most frequent words of both corpora together and a symbol for all others; one
 smoothing, bigrams interpolated with add-one unigrams; and background counts scaled to the target's total, so that
 smoothing weighs the same in both. A document's score is the mean over its tokens of the target model's loss less the
 background model's; lower is nearer to the target.
 
-Words, bigrams and totals are counted over all documents. Words are counted where they are read and summed by a
-shuffle; bigrams are at most (size + 2)^2 cells, counted likewise. The model is a table of cells in the shared folder,
-read by each worker into arrays of that bounded size.
+Words, bigrams and totals are counted over all texts of both corpora. They are counted where they are read and summed
+by a shuffle of counts, so no text moves; bigrams are at most (size + 2)^2 cells. The model is a table of cells in the
+shared folder, read by each worker into arrays of that bounded size.
 
-Edge cases: null and empty texts have no tokens and a null score. Repeated rows and null ids are kept; a null id is
-never labelled. Without target documents (or background) that model is uniform. An empty table gives no rows.
+Edge cases: null and empty texts have no tokens and a null score. Repeated rows and null ids are kept. Without target
+texts (or background) that model is uniform. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, shared_dir, texts
+from .common import cut, map_arrow, shared_dir, texts
 
 HELD_WORDS = 400_000
 _MODELS: dict[str, tuple] = {}
@@ -48,9 +48,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("text"), run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, size: int) -> list[str]:
-    """The `size` most frequent words, ties by the word."""
-    return [r["word"] for r in word_counts(docs).orderBy(F.desc("n"), "word").limit(size).collect()]
+def vocabulary(texts: DataFrame, size: int) -> list[str]:
+    """The `size` most frequent words, ties by the word.
+
+    Only words at least as frequent as a power of two that `size` words reach are sorted, so few more than `size` rows
+    come to the driver however many tasks have counted.
+    """
+    counts = cut(word_counts(texts))
+    power = F.floor(F.log2("n")).cast("int")
+    reached, least = 0, 0
+    for r in sorted(counts.groupBy(power.alias("p")).agg(F.count("*").alias("m")).collect(), key=lambda r: -r["p"]):  # 64 rows at most
+        reached, least = reached + r["m"], r["p"]
+        if reached >= size:
+            break
+    return [r["word"] for r in counts.filter(F.col("n") >= 1 << least).orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
 def encode(text: bytes, ids: dict[bytes, int]) -> np.ndarray:
@@ -133,14 +144,13 @@ class Model:
         return _MODELS[self.where]
 
 
-def fit(docs: DataFrame, good: DataFrame, size: int = 2046, weight: float = 0.7) -> Model:
-    """A model whose target documents have a doc_id in `good`; all documents are counted."""
-    spark = docs.sparkSession
-    vocab = vocabulary(docs, size)
-    ids = good.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().withColumn("__good", F.lit(True))
-    rows = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("text", F.coalesce("__good", F.lit(False)).alias("__target"))
+def fit(target: DataFrame, background: DataFrame, size: int = 2046, weight: float = 0.7) -> Model:
+    """A model of two corpora, each with a column text; all their texts are counted."""
+    spark = background.sparkSession
+    both = target.select("text", F.lit(True).alias("__target")).unionByName(background.select("text", F.lit(False).alias("__target")))
+    vocab = vocabulary(both, size)
     where = f"{shared_dir(spark).rstrip('/')}/lm-{uuid.uuid4().hex}"
-    cell_counts(rows, vocab).write.parquet(where)
+    cell_counts(both, vocab).write.parquet(where)
     return Model(where, vocab, weight)
 
 

@@ -71,9 +71,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = lm.fit(docs, table(spark, sf_dir, "labels").filter(F.col("quality") == 1))
-    return lm.score(docs, model)
+    docs = table(spark, sf_dir, "documents")  # the nearer to the conversations, the lower the score
+    return lm.score(docs, lm.fit(table(spark, sf_dir, "conversations"), docs))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

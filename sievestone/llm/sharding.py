@@ -16,15 +16,12 @@ null ids are carried; an empty table gives no rows; with fewer groups than shard
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
 from itertools import accumulate
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow
+from .common import cut
 
 BITS = 16
 
@@ -120,36 +117,19 @@ def cuts(groups: DataFrame, shards: int) -> tuple[dict[int, int], list[int], int
 
 
 def numbered(rows: DataFrame, shard: str, slot: str) -> DataFrame:
-    """rows with a number from 0, gapless within each shard: by partition and place there. Not shuffled.
+    """rows with a number from 0, gapless within each shard.
 
-    What is broadcast is a count for each partition and shard.
+    Rows are counted by the partition that they were read in and shard; a row's number is the sum of its shard's counts
+    in earlier partitions and its place among its partition's rows. No task sorts more of a shard than one partition's.
     """
     rows = cut(rows)
-    counts = rows.groupBy(F.spark_partition_id().alias("p"), shard).agg(F.count("*").alias("n")).collect()
-    first: dict[tuple[int, int], int] = {}
-    so_far: dict[int, int] = {}
-    for r in sorted(counts, key=lambda r: r["p"]):
-        first[r["p"], r[shard]] = so_far.get(r[shard], 0)
-        so_far[r[shard]] = so_far.get(r[shard], 0) + r["n"]
-    shared = rows.sparkSession.sparkContext.broadcast(first)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + f", {slot} bigint"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: dict[int, int] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            part, s = batch.column("__p")[0].as_py(), batch.column(shard).to_numpy()
-            out = np.zeros(len(s), np.int64)
-            for k in np.unique(s).tolist():
-                mine = np.flatnonzero(s == k)
-                start = at.get(k, shared.value.get((part, k), 0))
-                out[mine] = np.arange(start, start + len(mine))
-                at[k] = start + len(mine)
-            keep = [c for c in batch.schema.names if c != "__p"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out)], [*keep, slot])
-
-    return map_arrow(rows.withColumn("__p", F.spark_partition_id()), run, schema)
+    placed = rows.withColumn("__p", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    counts = placed.groupBy("__p", shard).agg(F.count("*").alias("__n"))  # a row for each partition and shard
+    before = Window.partitionBy(shard).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("__p", shard, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    place = F.row_number().over(Window.partitionBy("__p", shard).orderBy("__at")) - 1
+    out = placed.withColumn("__place", place).join(first, ["__p", shard])
+    return out.select(*rows.columns, (F.col("__first") + F.col("__place")).cast("bigint").alias(slot))
 
 
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:

@@ -38,17 +38,21 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     one = F.lit(1).cast("int")
 
     def covered(h: Column) -> Column:
-        placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
         def twice(s: Column) -> Column:
             same = lambda x, j: F.when((j >= 0) & (j < F.size(s)), F.get(s, j).getField("h") == x.getField("h")).otherwise(False)
-            at = F.array_sort(F.transform(F.filter(s, lambda x, i: same(x, i - one) | same(x, i + one)), lambda x: x.getField("i")))
+            at = F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, i - one) | same(x, i + one)), lambda x: x.getField("i")))
             return let(at, lambda a: F.aggregate(F.transform(a, lambda x, i: F.least(F.lit(window), F.coalesce(F.get(a, i + one) - x, F.lit(window)))), F.lit(0).cast("bigint"), lambda acc, x: acc + x))
 
         return let(placed, twice)
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - window + 1), lambda i: F.xxhash64(F.slice(words, i, window)))
-    some = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("bigint")))
+    def counted(w: Column) -> Column:
+        # hashes of the words' hashes: slices of the words would copy the whole array for every window
+        hashes = F.transform(F.sequence(F.lit(0), F.size(w) - window), lambda i: F.xxhash64(*(F.get(w, i + F.lit(k)) for k in range(window))))
+        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("bigint")))
+
+    some = let(F.transform(words, lambda w: F.xxhash64(w)), counted)
     return F.when(F.size(words) <= window, F.lit(0).cast("bigint")).otherwise(some)
 
 
@@ -81,12 +85,21 @@ RULES = {
 }
 
 
-def ordered(rows: DataFrame, rules: dict[str, str], sample_rows: int = 500) -> list[str]:
-    """The rules' names by falling rejection per cost on a bounded sample of rows."""
-    sample = rows.filter(~F.col("base_failed")).limit(sample_rows).cache()
+def sampled(docs: DataFrame, most: int = 300, most_bytes: int = 100_000) -> DataFrame:
+    """The first `most` documents of at most `most_bytes`, by way of the driver: reading stops when they are found.
+
+    Only costs and selectivities are estimated on them; a plain limit would shuffle as many rows of every partition.
+    """
+    rows = docs.select("doc_id", "text").filter(F.octet_length(F.coalesce("text", F.lit(""))) <= most_bytes)
+    return docs.sparkSession.createDataFrame(rows.take(most), rows.schema)
+
+
+def ordered(rows: DataFrame, rules: dict[str, str]) -> list[str]:
+    """The rules' names by falling rejection per cost on a bounded sample, given with its base counts."""
+    rows = rows.cache()  # before the filter, which would otherwise count everything again below it
+    sample = rows.filter(~F.col("base_failed"))
     try:
-        n = sample.count()
-        if not n:
+        if sample.isEmpty():
             return list(rules)
         got = sample.agg(*(F.avg(F.expr(x).cast("double")).alias(k) for k, x in rules.items())).first()
         rank = {}
@@ -99,7 +112,7 @@ def ordered(rows: DataFrame, rules: dict[str, str], sample_rows: int = 500) -> l
             rank[k] = (got[k] or 0.0) / max(1e-4, min(took))
         return sorted(rules, key=lambda k: (-rank[k], list(rules).index(k)))
     finally:
-        sample.unpersist()
+        rows.unpersist()
 
 
 def cascade(rows: DataFrame, rules: dict[str, str], order: list[str]) -> DataFrame:
@@ -110,9 +123,9 @@ def cascade(rows: DataFrame, rules: dict[str, str], order: list[str]) -> DataFra
     return rows.withColumn("rejected_by", chain)
 
 
-def apply_rules(docs: DataFrame, rules: dict[str, str] | None = None, sample_rows: int = 500, carry: tuple[str, ...] = ()) -> DataFrame:
+def apply_rules(docs: DataFrame, rules: dict[str, str] | None = None, sample_rows: int = 300, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, carried columns, base counts, base_failed, rejected_by, kept."""
     rules = RULES if rules is None else rules
     rows = base(docs, carry)
-    rows = cascade(rows, rules, ordered(base(docs.select("doc_id", "text").limit(sample_rows)), rules, sample_rows))
+    rows = cascade(rows, rules, ordered(base(sampled(docs, sample_rows)), rules))
     return rows.withColumn("kept", F.col("rejected_by").isNull()).drop("__text", "__words")

@@ -163,8 +163,9 @@ def _counts(rows: DataFrame) -> DataFrame:
 def one_of_copies(rows: DataFrame, width: int = 5) -> DataFrame:
     """One of the rows of either class that share their least shingle hash, as near copies mostly do; rows are a bounded sample."""
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), WORD_SPLIT), lambda w: w != "")
-    rows = rows.withColumn("__words", words)
-    hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.size("__words") - width + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("__words", i, width)))
+    rows = rows.withColumn("__words", F.transform(words, lambda w: F.xxhash64(w)))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("__words") - width, F.lit(0)))
+    hashes = F.transform(starts, lambda i: F.xxhash64(*(F.get("__words", i + F.lit(k)) for k in range(width))))
     return rows.withColumn("__sketch", F.array_min(hashes)).dropDuplicates(["__sketch", "__label"]).drop("__words", "__sketch")
 
 

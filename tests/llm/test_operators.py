@@ -382,9 +382,9 @@ def test_warc(spark, tmp_path, least):
 
 # 10 ---------------------------------------------------------------------------------------------------------------
 def test_language_models(spark, docs, empty):
-    good = spark.createDataFrame([(i,) for i in range(0, 30)] + [(None,), (3,)], "doc_id bigint")
+    good, rest = docs.filter("doc_id < 30"), docs.filter("doc_id is null or doc_id >= 30")
     size, weight = 12, 0.7
-    got = lm.score(docs, lm.fit(docs, good, size, weight)).collect()
+    got = lm.score(docs, lm.fit(good, rest, size, weight)).collect()
     words = lambda t: (t or "").lower().encode().split()
     uni = collections.Counter(w for _, t in corpus() for w in words(t))
     vocab = sorted(uni, key=lambda w: (-uni[w], w))[:size]
@@ -415,9 +415,9 @@ def test_language_models(spark, docs, empty):
         else:
             assert of[i].score is None
     assert len(got) == len(corpus())
-    assert lm.score(empty, lm.fit(docs, good, size)).count() == 0
-    assert lm.score(docs, lm.fit(docs, good.limit(0), size)).count() == len(corpus())
-    assert lm.score(docs, lm.fit(empty, good, size)).count() == len(corpus())
+    assert lm.score(empty, lm.fit(good, docs, size)).count() == 0
+    assert lm.score(docs, lm.fit(empty, docs, size)).count() == len(corpus())
+    assert lm.score(docs, lm.fit(good, empty, 500)).count() == len(corpus())
 
 
 # pipeline ---------------------------------------------------------------------------------------------------------

@@ -9,9 +9,11 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
 from .stemming import stem
@@ -53,10 +55,17 @@ def strip_latin(token: str) -> str:
     return "".join(out)
 
 
-@pandas_udf(ArrayType(StringType()))
-def stems(t: pd.Series) -> pd.Series:
-    """Stems of arrays of folded tokens, Latin diacritics stripped after stemming; order and count stay."""
-    return t.map(lambda ws: None if ws is None else [strip_latin(stem(w)) for w in ws])
+@arrow_udf(ArrayType(StringType()))
+def stems(t: pa.Array) -> pa.Array:
+    """Stems of arrays of folded tokens, Latin diacritics stripped after stemming; order and count stay.
+
+    A batch's tokens are encoded as a dictionary, so each distinct token is stemmed once.
+    """
+    offsets = t.offsets
+    first, last = offsets[0].as_py(), offsets[-1].as_py()
+    coded = t.values.slice(first, last - first).dictionary_encode()
+    words = pa.array([None if w is None else strip_latin(stem(w)) for w in coded.dictionary.to_pylist()], pa.string())
+    return pa.ListArray.from_arrays(pc.subtract(offsets, first), words.take(coded.indices), mask=t.is_null())
 
 
 def stem_text(s: str) -> str:

@@ -42,7 +42,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces(docs, vocabulary_file(TOKENIZER)))
+    # workers go on to other stages with what they keep, so they keep less than for packing alone
+    return packing.pack(packing.pieces(docs, vocabulary_file(TOKENIZER), cache=100_000))
 
 
 STAGES = [("toxicity", drop_toxic), ("quality", keep_quality), ("near_duplicates", one_of_near_duplicates), ("decontamination", drop_contaminated), ("packing", pack)]

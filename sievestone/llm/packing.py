@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, texts
 
-CACHE_WORDS, CACHE_PARTS = 500_000, 500_000
+#: Words, and parts of words, that a worker keeps for each generation: some 0.7 kB of memory each, against work done twice.
+CACHE = 500_000
 #: The tokenizer's own cut of a word. Parts are cut here only for words of Latin letters, where it is sure to be the same.
 PARTS = "'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\\s\\p{L}\\p{N}]+"
-_ENCODERS: dict[str, WordIds] = {}
+_ENCODERS: dict[tuple[str, int], WordIds] = {}
 
 
 class Recent:
@@ -52,11 +53,11 @@ class Recent:
 class WordIds:
     """Bytes of texts' ids (little-endian, 4 each), by bounded caches of words and of their parts."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         import regex
         from tokenizers import Tokenizer
 
-        self.tok, self.words, self.parts, self.cut = Tokenizer.from_file(path), Recent(CACHE_WORDS), Recent(CACHE_PARTS), regex.compile(PARTS)
+        self.tok, self.words, self.parts, self.cut = Tokenizer.from_file(path), Recent(cache), Recent(cache), regex.compile(PARTS)
         ends = {i for w, i in self.tok.get_vocab(with_added_tokens=False).items() if w.endswith("</w>")}
         self.ends = np.array([i in ends for i in range(self.tok.get_vocab_size())])
         with open(path) as f:
@@ -111,23 +112,24 @@ class WordIds:
         out.update(zip([w for w, _ in other], self.encoded([s for _, s in other]), strict=True))
 
 
-def encoder(path: str) -> WordIds:
-    """One encoder for each worker process."""
+def encoder(path: str, cache: int) -> WordIds:
+    """One encoder for each worker process; another cache size replaces it."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordIds(path)
-    return _ENCODERS[path]
+    if (path, cache) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, cache] = WordIds(path, cache)
+    return _ENCODERS[path, cache]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids): each document's ids and end_id, cut into capacity ids."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, cache)
         for batch in batches:
             at, piece, length, crc, ids = [], [], [], [], []
             for i, found in enumerate(encode(texts(batch))):

@@ -420,6 +420,45 @@ def test_language_models(spark, docs, empty):
     assert lm.score(docs, lm.fit(good, empty, 500)).count() == len(corpus())
 
 
+def test_language_models_of_all_words(spark, monkeypatch):
+    rng = random.Random(9)
+    rare = lambda c: " ".join(f"{c}{rng.randrange(4000)}" for _ in range(150))
+    texts = [prose(rng, 300) + " " + rare(c) for c in "ab" * 20]
+    near, far = prose(rng, 20), prose(rng, 20)
+    texts += [near + " " + texts[0][-400:], near + " " + texts[1][-400:], far + " neverseen", "", None]
+    df, good = table_of(spark, list(enumerate(texts))), [t for t in texts[:40:2]]
+    target = table_of(spark, list(enumerate(good)))
+    words = lambda t: (t or "").lower().encode().split()
+    pairs = lambda t: list(zip([b"", *words(t)], words(t), strict=False))
+    counts = [collections.Counter(p for t in c for p in pairs(t)) for c in (good, texts)]
+    v, totals = len({w for t in texts for w in words(t)}) + 2, [c.total() for c in counts]
+    assert v > 2048 + 500
+    before, uni = ([collections.Counter() for _ in counts] for _ in range(2))
+    for k, c in enumerate(counts):
+        for (p, q), n in c.items():
+            before[k][p] += n
+            uni[k][q] += n
+
+    def loss(k, t):
+        scale, out = totals[0] / totals[1] if k else 1.0, 0.0
+        for p, q in pairs(t):
+            u = (uni[k][q] * scale + 1) / (totals[0] + v)
+            out -= np.log(0.7 * counts[k][p, q] / before[k][p] + 0.3 * u if before[k][p] else u)
+        return out
+
+    for tokens, size in ((2_000_000, 8 << 20), (500, 1000)):  # one chunk and bucket, and many
+        monkeypatch.setattr(lm, "CHUNK_TOKENS", tokens, raising=False)
+        monkeypatch.setattr(lm, "BUCKET_BYTES", size, raising=False)
+        for scored in (df, df.filter("true")):  # the background itself, and other rows
+            of = {r.doc_id: r for r in lm.score(scored, lm.fit(target, df)).collect()}
+            assert len(of) == len(texts)
+            for i, t in enumerate(texts):
+                assert of[i].n_tokens == len(words(t))
+                if t:
+                    assert of[i].target_loss == pytest.approx(loss(0, t)) and of[i].background_loss == pytest.approx(loss(1, t))
+    assert of[40].score < of[41].score - 0.1  # they differ in rare words only
+
+
 # pipeline ---------------------------------------------------------------------------------------------------------
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline

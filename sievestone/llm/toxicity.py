@@ -7,7 +7,7 @@ an insult or threat counts, more with a target in the clause, less under a negat
 speech. A document's score is a calibrated function of its matched clauses.
 
 The words of the classes are a small fixed list and what labelled rows teach: words and word beginnings that occur
-almost only in toxic rows. At most `each` labelled rows of either class outside the held fold are learned from (a
+almost only in toxic rows, in more of them than chance explains. At most `each` labelled rows of either class outside the held fold are learned from (a
 documented bound), in the order of a hash of their ids.
 
 Edge cases: null and empty texts match nothing and get the score of no match. Labels other than 0 and 1 and null ids
@@ -201,26 +201,51 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 1.0)
     return beta
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, each: int = 3000, least: int = 24, pure: float = 0.97, most: int = 2000) -> Model:
+def _chance(tested: dict[int, int], share: float, allowed: float) -> float:
+    """The chance that a mark may have at most, so that chance alone gives `allowed` learned marks at most on average.
+
+    tested: how many marks occur in n rows. Marks in so few rows that they cannot pass are not among the tested (Tarone).
+    """
+    for n in range(1, max(tested, default=0) + 1):
+        marks = sum(m for k, m in tested.items() if k >= n)
+        if marks * share**n <= allowed:
+            return allowed / max(1, marks)
+    return 0.0
+
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, each: int = 12_000, allowed: float = 1.0, pure: float = 0.97, most: int = 20_000) -> Model:
     """A model of labels.toxic, from the rows outside the held fold.
 
-    A mark is learned if at least `least` of the toxic rows have it and its share of toxic rows is at least `pure`,
-    classes weighed alike and one clean row allowed for; at most `most` marks are taken, the most frequent first. Copies
-    would make any of their words look telling, so of sampled rows with the same least shingle hash one is counted; `least`
-    is such that chance alone gives about one such mark in ten million.
+    A mark is learned if more of its rows are toxic than chance explains and its share of toxic rows is at least `pure`,
+    classes weighed alike and half a clean row added. How many rows that takes follows from the sample: by the likelihood
+    ratio (a bound of the binomial tail), chance alone gives at most `allowed` such marks among all. At most `most` marks
+    are taken, the most frequent first. Copies would make any of their words look telling, so of sampled rows with the
+    same least shingle hash one is counted.
     """
     rows = cut(labelled(docs, sample_of(labels, "toxic", folds, held, each)))
-    rate = (F.col("pos") + 0.5) / F.lit(1.0)
     by = {r["toxic"]: r["n"] for r in labels.filter(F.col("toxic").isin(0, 1)).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     fixed = Model([], [], np.array([-3.0, 3.0, 1.0, 1.0, 1.0]))
     if len(by) < 2:
         return fixed
-    scale = min(each, by[1]) / max(1, min(each, by[0]))
-    found = _counts(one_of_copies(rows)).filter((F.col("pos") >= least) & (rate / (rate + (F.col("neg") + 0.5) * scale) >= pure))
+    once = cut(one_of_copies(rows).select("text", "__label"))
+    size = {r["__label"]: r["n"] for r in once.groupBy("__label").agg(F.count("*").alias("n")).collect()}
+    if len(size) < 2:
+        return fixed
+    counts, n = cut(_counts(once)), F.col("pos") + F.col("neg")
+    tested = counts.groupBy(F.least(n, F.lit(200)).cast("int").alias("k")).agg(F.count("*").alias("m")).collect()  # 200 rows at most
+    share = size[1] / (size[0] + size[1])
+    limit = _chance({r["k"]: r["m"] for r in tested}, share, allowed)
+    if not limit:
+        return fixed
+    part = lambda k, p: F.when(k > 0, k * F.log(k / n / F.lit(p))).otherwise(0.0)
+    ratio = part(F.col("pos"), share) + part(F.col("neg"), 1 - share)
+    rate = F.col("pos") + F.lit(0.5)
+    telling = (F.col("pos") > share * n) & (ratio >= float(-np.log(limit))) & (rate / (rate + (F.col("neg") + 0.5) * (size[1] / size[0])) >= pure)
+    found = counts.filter(telling)
     found = [r["mark"] for r in found.orderBy(F.desc("pos"), "mark").limit(most).collect()]
-    stems = sorted((m[:-1] for m in found if m.endswith("*")), key=len)
-    stems = [s for s in stems if not any(s[:k] in stems for k in range(4, len(s)))]
-    words = [m for m in found if not m.endswith("*") and not any(m[:k] in stems for k in range(4, 8))]
+    every = {m[:-1] for m in found if m.endswith("*")}
+    stems = sorted(s for s in every if not any(s[:k] in every for k in range(4, len(s))))
+    words = [m for m in found if not m.endswith("*") and not any(m[:k] in every for k in range(4, 8))]
     model = Model(words, stems, np.zeros(5))
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -233,6 +233,22 @@ def test_held_out(spark, docs, empty, module, column, at):
     assert module.score(docs, module.fit(empty, labels)).count() == len(corpus())
 
 
+def test_rare_marks_are_learned(spark):
+    df, labels, truth = labelled_corpus(spark)
+    rows, own = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()], [t[0] for t in truth if t[2] == 1][:20]
+    extra = {i: prose(random.Random(i), 60) + " kwelmig " + prose(random.Random(-i), 60) for i in own}  # 20 toxic rows hold this word alone
+    df = table_of(spark, [(i, extra.get(i, t)) for i, t in rows])
+    train = [i for i in own if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert 8 <= len(train) < 24
+    got = {r.doc_id: r.score for r in toxicity.score(df, toxicity.fit(df, labels)).collect()}
+    assert all(got[i] >= 0.3 for i in own) and sum(got[t[0]] >= 0.3 for t in truth if t[2] == 0) <= 6
+
+
+def test_chance_of_marks():
+    assert toxicity._chance({1: 1000, 5: 100}, 0.5, 1.0) == 0.0  # none in enough rows
+    assert toxicity._chance({1: 10**6, 30: 100}, 0.5, 1.0) == 0.01  # what cannot pass is not tested
+
+
 def test_isotonic():
     from sievestone.llm.learning import isotonic
 

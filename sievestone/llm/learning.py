@@ -9,13 +9,24 @@ from pyspark.sql import functions as F
 from .common import fold_of
 
 
+def learnable(labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
+    """doc_id and __label of the rows outside the held fold; an id with several labels counts once, with the largest."""
+    rows = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of("doc_id", folds) != held))
+    return rows.groupBy("doc_id").agg(F.max(label).alias("__label"))
+
+
+def class_sizes(labels: DataFrame, label: str, folds: int, held: int) -> dict[int, int]:
+    """How many rows of either class are outside the held fold."""
+    got = learnable(labels, label, folds, held).groupBy("__label").agg(F.count("*").alias("n")).collect()
+    return {r["__label"]: r["n"] for r in got}
+
+
 def sample_of(labels: DataFrame, label: str, folds: int, held: int, each: int) -> DataFrame:
     """doc_id and label of at most `each` rows of either class outside the held fold, by the order of a hash of the id.
 
     An id with several labels counts once, with the largest.
     """
-    rows = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of("doc_id", folds) != held))
-    rows = rows.groupBy("doc_id").agg(F.max(label).alias("__label"))
+    rows = learnable(labels, label, folds, held)
     part = lambda y: rows.filter(F.col("__label") == y).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(each)
     return part(0).unionByName(part(1))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, texts
-from .learning import isotonic, labelled, sample_of
+from .learning import class_sizes, isotonic, labelled, sample_of
 
 #: The byte classes that are counted.
 UPPER, DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
@@ -125,8 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, each:
     rng = np.random.default_rng(seed)
     w = rng.normal(0, 1 / (width * N_STATS**0.5), (N_STATS, features))
     model = Model(mean, np.where(scale > 1e-9, scale, 1.0), w, rng.uniform(0, 2 * np.pi, features), None, None)
-    total = labels.filter(F.col("quality").isin(0, 1)).groupBy("quality").agg(F.count("*").alias("n")).collect()
-    prior = {r["quality"]: r["n"] for r in total}
+    prior = class_sizes(labels, "quality", folds, held)
     weight = {y: prior.get(y, 1) / by[y] for y in by}  # the sample's classes stand for the whole's
     top = max(weight.values())
     rows = rows.withColumn("w", F.when(F.col("__label") == 1, weight[1] / top).otherwise(weight[0] / top))

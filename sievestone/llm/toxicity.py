@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_SPLIT, cut, map_arrow, texts
-from .learning import labelled, sample_of
+from .learning import class_sizes, labelled, sample_of
 
 #: Words of each class that are known without learning.
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash worthless disgusting pathetic clown dumb fool imbecile vermin filth jerk coward"
@@ -223,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, each:
     same least shingle hash one is counted.
     """
     rows = cut(labelled(docs, sample_of(labels, "toxic", folds, held, each)))
-    by = {r["toxic"]: r["n"] for r in labels.filter(F.col("toxic").isin(0, 1)).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    by = class_sizes(labels, "toxic", folds, held)
     fixed = Model([], [], np.array([-3.0, 3.0, 1.0, 1.0, 1.0]))
     if len(by) < 2:
         return fixed

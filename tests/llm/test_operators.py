@@ -249,6 +249,15 @@ def test_chance_of_marks():
     assert toxicity._chance({1: 10**6, 30: 100}, 0.5, 1.0) == 0.01  # what cannot pass is not tested
 
 
+@pytest.mark.parametrize("module,folds,held", [(quality, 5, 0), (toxicity, 4, 2)])
+def test_held_out_labels_are_not_counted(spark, module, folds, held):
+    df, labels, _ = labelled_corpus(spark)
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held
+    flip = [F.when(out, F.lit(1)).otherwise(F.col(c)).alias(c) for c in ("quality", "toxic")]
+    a, b = (module.score(df, module.fit(df, x)).orderBy("doc_id").collect() for x in (labels, labels.select("doc_id", *flip)))
+    assert np.allclose([r.score for r in a], [r.score for r in b], atol=1e-9)
+
+
 def test_isotonic():
     from sievestone.llm.learning import isotonic
 

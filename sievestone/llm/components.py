@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges (u bigint, v bigint) to (node, root): every node on an edge, with the smallest node that it reaches.
 
-    Each round shuffles the edges by their ends and checkpoints them; the rounds grow with the logarithm of the
-    longest path. No edges give no rows; loops and repeated edges change nothing.
+    Each round shuffles the edges by their ends and checkpoints them, until a round changes nothing; the rounds grow
+    with the logarithm of the longest path. No edges give no rows; loops and repeated edges change nothing.
     """
     e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct())
     seen = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         e = cut(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct())
@@ -26,7 +26,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     nodes = e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     return nodes.unionByName(nodes.select(F.col("root").alias("node"), "root").distinct())

@@ -2,12 +2,16 @@
 
 A 64-bit fingerprint is cut into m blocks. Two fingerprints that differ in at most k bits agree on at least m - k
 blocks, so each choice of m - k blocks makes a key and close pairs share one of the keys; m grows with the number of
-fingerprints so that chance meetings stay few. Distinct fingerprints, not documents, are keyed. A key that many share
-is cut into tiles of bounded size, each compared on its own. A tile gives the edges of a spanning forest of the
-verified links, never all pairs, and the components of these edges are those of all links.
+fingerprints so that chance meetings stay few. Distinct fingerprints, not documents, are keyed. Keys are counted first:
+rows of a key that many share get finer keys before they are grouped, made of the key and one of k + 1 blocks of its
+other bits, which close pairs still share; a finer key that many share still is cut into tiles of bounded size, each
+compared on its own. A group gives the edges of a spanning forest of the verified links, never all pairs, and the
+components of these edges are those of all links.
 
 Edge cases: null and empty texts have fingerprint zero and are linked as any other. Rows with a null doc_id take the
-smallest non-null doc_id of their component, or null. Repeated rows stay. An empty table gives no rows.
+smallest non-null doc_id of their component, or null. Repeated rows stay in near_duplicates(); representatives() keeps
+one row of each component, ties by the place that it was read at. Extra columns may have any name. Very long texts are
+hashed in steps of bounded size. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, texts
+from .common import cut, dealt, map_arrow, noted, scratch, texts, with_group
 from .components import components
 
 TILE = 4096
@@ -47,24 +51,41 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long)."""
+    """doc_id, fp (the fingerprint's bits as a signed long), part and place (where the row was read)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
+            n = batch.num_rows
             fp = np.array([fingerprint(t, width) for t in texts(batch)], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp), pa.array(np.full(n, part, np.int64)), pa.array(np.arange(at, at + n))], ["doc_id", "fp", "part", "place"])
+            at += n
+
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, fp bigint, part bigint, place bigint")
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _blocks(bits: list[int], m: int) -> list[int]:
+    """Masks of m blocks of the given bits, as even as can be."""
+    at = [len(bits) * i // m for i in range(m + 1)]
+    return [sum(1 << b for b in bits[at[i] : at[i + 1]]) for i in range(m)]
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, fp bigint")
 
+def masks(count: int, radius: int, meet: int = 256) -> list[int]:
+    """The key masks for so many fingerprints: the fewest blocks for which a key meets at most `meet` others by chance."""
+    m = next(m for m in range(radius + 1, 64) if count <= meet << (64 * (m - radius) // m) or m == radius + 4)
+    return [sum(x) for x in combinations(_blocks(list(range(64)), m), m - radius)]
 
-def masks(count: int, radius: int) -> list[int]:
-    """The key masks for so many fingerprints: the fewest blocks for which a key meets few others by chance."""
-    m = next((m for m in range(radius + 2, radius + 6) if 4 * count <= 1 << (64 * (m - radius) // m)), radius + 6)
-    at = [64 * i // m for i in range(m + 1)]
-    block = [((1 << at[i + 1]) - 1) ^ ((1 << at[i]) - 1) for i in range(m)]
-    full = [sum(x) for x in combinations(block, m - radius)]
-    return [x - (1 << 64) if x >> 63 else x for x in full]
+
+def finer(mask: int, radius: int) -> list[int]:
+    """The mask with one of radius + 1 blocks of its other bits."""
+    return [mask | x for x in _blocks([b for b in range(64) if not mask >> b & 1], radius + 1)]
 
 
 class Forest:
@@ -109,18 +130,46 @@ def forest_edges(fp: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
                 yield from ((int(x), int(y)) for y in found)
 
 
-def links(fps: DataFrame, count: int, radius: int = 4, tile: int = TILE) -> DataFrame:
+def near_pairs(fp: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """Links that connect whatever links of at most radius bits connect; small groups are compared at once."""
+    if len(fp) > 1024:
+        yield from forest_edges(fp, radius)
+        return
+    a, b = np.nonzero(differing(fp[:, None], fp[None, :]) <= radius)
+    later = a < b
+    if later.sum() > 8 * len(fp):
+        yield from forest_edges(fp, radius)
+    else:
+        yield from zip(fp[a[later]].tolist(), fp[b[later]].tolist(), strict=True)
+
+
+def _keyed(fps: DataFrame, key_masks: list[int], radius: int, hot: int, tile: int) -> DataFrame:
+    """fp and k, the key of a group: keys over `hot` rows are made finer, finer ones over `tile` are cut into tiles."""
+    key = lambda i, j, mask: F.xxhash64(F.lit(i), F.lit(j), F.col("fp").bitwiseAND(F.lit(_signed(mask))))
+    first = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), key(i, -1, x).alias("k")) for i, x in enumerate(key_masks))))
+    keyed = fps.select("fp", first.alias("x")).select("fp", "x.i", "x.k")
+    many = cut(keyed.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("k", "n"))
+    if many.isEmpty():
+        return keyed.select("fp", "k")
+    split = F.pmod(F.xxhash64("fp"), F.lit(64)).cast("int")  # a hot key's rows meet its note in 64 places
+    noted_keys = many.select("k", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("split"), F.lit(True).alias("many"))
+    marked = cut(keyed.withColumn("split", split).join(noted_keys, ["k", "split"], "left").select("fp", "i", "k", "many"))
+    plain = marked.filter("many is null").select("fp", "k")
+    by_mask = F.array(*(F.array(*(key(i, j, y) for j, y in enumerate(finer(x, radius)))) for i, x in enumerate(key_masks)))
+    fine = marked.filter("many").select("fp", F.explode(F.get(by_mask, F.col("i"))).alias("k"))
+    large = cut(fine.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > tile).select("k", F.ceil(F.col("n") / tile).alias("parts")))
+    if large.isEmpty():
+        return plain.unionByName(fine)
+    noted_keys = large.select("k", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("split"), "parts")
+    mine = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts"))
+    tiles = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda x: F.xxhash64("k", F.least(x, mine), F.greatest(x, mine)))
+    found = fine.withColumn("split", split).join(noted_keys, ["k", "split"], "left")
+    return plain.unionByName(found.select("fp", F.explode(F.when(F.col("parts").isNull(), F.array("k")).otherwise(tiles)).alias("k")))
+
+
+def links(fps: DataFrame, count: int, radius: int = 4, tile: int = TILE, hot: int = 4 * TILE) -> DataFrame:
     """Distinct fingerprints (fp) to edges (u, v) of a forest with the components of all links of at most radius bits."""
-    key = F.explode(F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(x))) for i, x in enumerate(masks(count, radius)))))
-    keyed = fps.select("fp", key.alias("k"))
-    shared = keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = F.ceil(F.col("n") / tile)
-    mine = F.pmod(F.xxhash64("fp"), F.col("parts"))
-    tiles = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j")))
-    )
-    dealt = keyed.join(shared, "k").withColumn("parts", parts).withColumn("mine", mine).select("fp", "k", F.explode(tiles).alias("t"))
-    dealt = dealt.select("fp", F.xxhash64("k", "t.i", "t.j").alias("k")).repartition("k").sortWithinPartitions("k")
+    groups = _keyed(fps, masks(count, radius), radius, hot, tile).repartition("k").sortWithinPartitions("k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held_k, held_fp = Forest(), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -129,11 +178,11 @@ def links(fps: DataFrame, count: int, radius: int = 4, tile: int = TILE) -> Data
             at = np.flatnonzero(np.diff(k)) + 1
             starts, sizes = np.concatenate(([0], at)), np.diff(np.concatenate(([0], at, [len(k)])))
             out = []
-            two = starts[sizes == 2]  # most groups are pairs: all at once
+            two = starts[sizes == 2]  # pairs: all at once
             near = differing(fp[two], fp[two + 1]) <= radius
             out += [(a, b) for a, b in zip(fp[two[near]].tolist(), fp[two[near] + 1].tolist(), strict=True) if known.join(a, b)]
             for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                out += [(a, b) for a, b in forest_edges(fp[s : s + n], radius) if known.join(a, b)]
+                out += [(a, b) for a, b in near_pairs(fp[s : s + n], radius) if known.join(a, b)]
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["u", "v"])
 
         for batch in batches:
@@ -148,18 +197,18 @@ def links(fps: DataFrame, count: int, radius: int = 4, tile: int = TILE) -> Data
         if len(held_k):
             yield edges(held_k, held_fp)
 
-    return map_arrow(dealt, run, "u bigint, v bigint")
+    return map_arrow(groups, run, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable over links of at most radius bits) for every document."""
-    rows = cut(fingerprints(docs, width))
-    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    rows = cut(fingerprints(docs, width).select("doc_id", "fp"))
+    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = components(links(fps.select("fp"), fps.count(), radius))
-    named = cut(fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = cut(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    ids = cut(named.select("fp", "root").join(least, "root").select("fp", "component_id"))
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    named = cut(fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = cut(named.select("fp", "root", "n").join(least, "root").select("fp", "component_id", "n"))
+    return with_group(rows, ids, "fp", rows.count()).select("doc_id", "fp", "component_id")
 
 
 def hex64(fp):
@@ -167,34 +216,36 @@ def hex64(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def representatives(docs: DataFrame, radius: int = 4, width: int = 4, most: int = 1_000_000) -> DataFrame:
-    """docs, all columns: of each component the one row with the smallest doc_id.
+def representatives(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
+    """docs, all columns: of each component the one row with the smallest doc_id (nulls last), the first read of these.
 
-    The kept ids are found among (id, fingerprint) rows; then the documents are joined with them, by broadcast up to
-    `most` ids (some 16 bytes each), else by a shuffle. Ids that occur more than once are few: their rows are
-    fingerprinted again and one row of the kept id and fingerprint stays.
+    The rows to keep are found among (id, fingerprint, part, place) rows. Where in which part they stand is written to
+    the shared folder by part, and a second scan of docs keeps them: texts are never shuffled and nothing is broadcast.
+    A plain scan of files is read in the same parts again; anything else is stored in the shared folder first.
     """
+    if not docs._jdf.queryExecution().analyzed().toString().lstrip().startswith("Relation ["):
+        docs = cut(docs)
     rows = cut(fingerprints(docs, width))
-    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("fp").alias("f")))
-    fps = cut(rows.groupBy("fp").agg(low.alias("low")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "part", "place"))
+    fps = cut(rows.groupBy("fp").agg(first.alias("first")))
     roots = components(links(fps.select("fp"), fps.count(), radius))
-    named = fps.join(roots, fps.fp == roots.node, "left").select("low", F.coalesce("root", "fp").alias("root"))
-    keep = cut(named.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.doc_id").alias("__id"), F.col("low.f").alias("__fp")))
-    times = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
-    keep = cut(keep.join(times, F.col("__id").eqNullSafe(F.col("doc_id"))).select("__id", "__fp", "n"))
-    sent = F.broadcast if keep.count() <= most else lambda df: df
-    is_kept = F.col("doc_id").eqNullSafe(F.col("__id"))
-    once = docs.join(sent(keep.filter("n = 1").select("__id")), is_kept, "left_semi")
-    again = keep.filter("n > 1").select("__id", "__fp")
-    if again.isEmpty():
-        return once
+    named = fps.join(roots, fps.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
+    keep = named.groupBy("root").agg(F.min("first").alias("first")).select("first.part", "first.place", "first.doc_id")
+    where = scratch(docs.sparkSession, "kept")
+    dealt(keep, "part", where)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = np.array([fingerprint(t, width) for t in texts(batch)], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], [*batch.schema.names, "__own"])
+        from pyspark import TaskContext
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __own bigint"
-    several = map_arrow(docs.join(sent(again.select("__id").distinct()), is_kept, "left_semi"), run, schema)
-    several = several.join(sent(again), is_kept & (F.col("__own") == F.col("__fp")), "left_semi").dropDuplicates(["doc_id", "__own"])
-    return once.unionByName(several.drop("__own"))
+        notes, at = noted(where, "part", TaskContext.get().partitionId()), 0
+        place = np.sort(notes["place"].to_numpy()) if notes is not None else np.empty(0, np.int64)
+        ids = notes.sort_by("place")["doc_id"] if notes is not None else None
+        for batch in batches:
+            a, b = np.searchsorted(place, (at, at + batch.num_rows))
+            out = batch.take(pa.array(place[a:b] - at))
+            if b > a and not out.column("doc_id").equals(ids.slice(a, b - a).combine_chunks()):
+                raise ValueError("the rows stand in other places than when they were first read")
+            at += batch.num_rows
+            yield out
+
+    return map_arrow(docs, run, docs.schema)

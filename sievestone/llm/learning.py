@@ -37,11 +37,13 @@ def labelled(docs: DataFrame, sample: DataFrame) -> DataFrame:
 
 
 def isotonic(score: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots (score, probability) to interpolate between."""
-    by = np.argsort(score, kind="stable")
+    """Pool adjacent violators: knots (score, probability) to interpolate between; equal scores are pooled first."""
+    at, of = np.unique(score, return_inverse=True)
+    mass = np.bincount(of, weight, len(at))
+    hits = np.bincount(of, label * weight, len(at))
     blocks: list[list[float]] = []  # weighted label sum, weight, weighted score sum
-    for s, y, w in zip(score[by], label[by], weight[by], strict=True):
-        blocks.append([y * w, w, s * w])
+    for s, y, w in zip(at, hits, mass, strict=True):
+        blocks.append([y, w, s * w])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             a = blocks.pop()
             blocks[-1] = [x + y for x, y in zip(blocks[-1], a, strict=True)]

@@ -7,7 +7,8 @@ the random features are summed within partitions, the sums are summed again, and
 
 Edge cases: null and empty texts have all-zero statistics and a score like any other. Labels other than 0 and 1 and
 null ids are not learned from. With labels of one class, or none, every score is the share of that class (0.5 for
-none). Repeated rows are scored alike. Scoring keeps all rows and, if asked, all columns.
+none). Repeated rows are scored alike; equal raw scores are one knot of the calibration, whatever their rows' order.
+Very long texts are read whole, one at a time. Scoring keeps all rows; kept() keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ class Model:
 
     def random(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
-        return np.hstack([np.sqrt(2 / len(self.b)) * np.cos(z @ self.w + self.b), z / 10, np.ones((len(x), 1))])
+        return np.hstack([np.sqrt(2 / len(self.b)) * np.cos(z @ self.w + self.b), np.ones((len(x), 1))])
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return self.random(x) @ self.ridge
@@ -103,13 +104,13 @@ def _sums(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
         if not np.isscalar(total):
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
 
-    d = model.w.shape[1] + model.w.shape[0] + 1
+    d = model.w.shape[1] + 1
     parts = map_arrow(map_arrow(sample, part, "m binary").repartition(4), add, "m binary").collect()
     total = sum((np.frombuffer(r["m"]) for r in parts), np.zeros(d * (d + 1))).reshape(d, d + 1)
     return total[:, :d], total[:, d]
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, each: int = 6000, features: int = 256, width: float = 2.0, penalty: float = 1e-3, seed: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, each: int = 6000, features: int = 512, width: float = 3.0, penalty: float = 3e-4, seed: int = 5) -> Model:
     """A model of labels.quality, from the rows outside the held fold.
 
     width: of the Gaussian kernel, in units of the square root of the number of statistics.
@@ -138,19 +139,29 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, each:
     return model
 
 
-def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
-    """doc_id and score of every document; keep: all columns of docs instead, and the score as __score."""
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and score of every document."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    name = "__score" if keep else "score"
-    docs = docs if keep else docs.select("doc_id", "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if keep or f.name == "doc_id") + f", {name} double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                got = shared.value.score(np.array([statistics(t) for t in texts(batch)], np.float64))
-                cols = [batch.column(i) for i, c in enumerate(batch.schema.names) if keep or c == "doc_id"]
-                names = [c for c in batch.schema.names if keep or c == "doc_id"]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.clip(got, 0, 1))], [*names, name])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(shared.value, batch))], ["doc_id", "score"])
+
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double")
+
+
+def kept(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The documents with a score of at least the threshold, all columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(shared.value, batch) >= threshold))
+
+    return map_arrow(docs, run, docs.schema)
+
 
-    return map_arrow(docs, run, schema)
+def _scores(model: Model, batch: pa.RecordBatch) -> np.ndarray:
+    x = np.array([statistics(t) for t in texts(batch)], np.float64).reshape(-1, N_STATS)
+    return np.clip(model.score(x), 0, 1)

@@ -6,11 +6,14 @@ by white-space-delimited word and a document's ids are a join of cached bytes.
 Packing is vector best-fit decreasing. A sequence has three capacities (tokens, documents, attention cost = sum of
 squared piece lengths); an item goes where every residual admits it and the weighted residual norm after placing is
 least (or the weighted dot product of item and residual is largest). Pieces are dealt evenly, whatever their values,
-to groups of `group` pieces that are packed apart; the sequences that a group leaves poorly filled are gathered and
-packed again, so that more groups cost no sequences.
+to groups of `group` pieces that are packed apart. The sequences that a group leaves poorly filled, the least filled
+first and up to half of its pieces, are gathered and packed again with those of other groups, round after round until
+what is left is one group. So each group but the last hands its remainders on, and more groups cost no sequences.
 
 Edge cases: a null or empty text has the end id alone, one piece of length 1. Repeated rows are packed as often as
-they occur. Null ids are carried. An empty table gives no rows. Only the id and text columns are read.
+they occur. Null ids are carried; ids may have any type that sorts. Ties go by id, piece and checksum. An empty table
+gives no rows. pieces() reads the id and text columns only; pack() carries all columns but replaces any that are called
+sequence_id or offset. A very long text is encoded whole; the caches of words are bounded in entries and in bytes.
 """
 
 from __future__ import annotations
@@ -23,13 +26,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from .common import cut, map_arrow, texts
+from .common import cut, map_arrow, texts, unused
 
 #: Words, and parts of words, that a worker keeps for each generation: some 0.7 kB of memory each, against work done twice.
-CACHE = 500_000
+CACHE, CACHE_BYTES = 500_000, 48 << 20
 #: The tokenizer's own cut of a word. Parts are cut here only for words of Latin letters, where it is sure to be the same.
 PARTS = "'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\\s\\p{L}\\p{N}]+"
+#: Of tokens, documents and attention cost in the residual norm.
+WEIGHTS = (1.0, 0.25, 0.25)
 _ENCODERS: dict[tuple[str, int], WordIds] = {}
 
 
@@ -37,16 +43,17 @@ class Recent:
     """A bounded cache in two generations: what was used since the last turn outlives it."""
 
     def __init__(self, most: int):
-        self.most, self.now, self.old = most, {}, {}
+        self.most, self.now, self.old, self.bytes = most, {}, {}, 0
 
     def lacking(self, keys: set) -> set:
         """The keys that neither generation has; those of the old one are taken over."""
-        if len(self.now) > self.most:
-            self.old, self.now = self.now, {}
+        if len(self.now) > self.most or self.bytes > CACHE_BYTES:
+            self.old, self.now, self.bytes = self.now, {}, 0
         out = keys.difference(self.now)  # plain dicts: compared without a Python loop
         new = out.difference(self.old)
         if len(new) < len(out):
             self.now.update((k, self.old[k]) for k in out - new)
+        self.bytes += sum(map(len, out))
         return new
 
 
@@ -192,47 +199,43 @@ def best_fit(lengths: np.ndarray, capacity: int, max_docs: int, max_cost: int, w
     return bins, offsets
 
 
-def _packed(rows: DataFrame, size: int, group: int, level: int, args: tuple) -> DataFrame:
-    """One round over checkpointed rows: dealt evenly to groups, each packed on its own."""
-    rows = rows.drop("sequence_id", "offset", "fill")
+def _packed(rows: DataFrame, size: int, group: int, level: int, poor: float, args: tuple) -> DataFrame:
+    """One round over checkpointed rows: dealt evenly to groups, each packed on its own; __again: to be packed again."""
     names, capacity = rows.columns, args[0]
     groups = max(1, -(-size // group))
+    g, again = unused(rows, "__g", "__again")
 
     def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         length = t["length"].to_numpy()
-        by = np.lexsort((t["piece"].to_numpy(), t["ids_crc32"].to_numpy(), t["doc_id"].fill_null(-1).to_numpy(), -length))
-        t, length = t.take(pa.array(by)), length[by]
         bins, offsets = best_fit(length, *args)
-        fill = np.bincount(bins, length)[bins] / capacity
-        first = (level << 58) + (t["g"][0].as_py() << 24)
-        return pa.table([*(t[c] for c in names), pa.array(first + bins), pa.array(offsets), pa.array(fill)], names=[*names, "sequence_id", "offset", "fill"])
+        fill, count = np.bincount(bins, length) / capacity, np.bincount(bins)
+        by = np.argsort(fill, kind="stable")
+        left = np.zeros(len(fill), bool)
+        left[by] = (fill[by] < poor) & (np.cumsum(count[by]) <= max(len(t) // 2, count[by[0]])) & (groups > 1)
+        first = (level << 58) + (t[g][0].as_py() << 24)
+        return pa.table([*(t[c] for c in names), pa.array(first + bins), pa.array(offsets), pa.array(left[bins])], names=[*names, "sequence_id", "offset", again])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id bigint, offset bigint, fill double"
-    dealt = rows.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-    return dealt.groupBy("g").applyInArrow(run, schema)
+    schema = StructType([*rows.schema, StructField("sequence_id", LongType()), StructField("offset", LongType()), StructField(again, BooleanType())])
+    dealt = rows.withColumn(g, F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(level)), F.lit(groups)))
+    return dealt.groupBy(g).applyInArrow(run, schema).withColumnRenamed(again, "__again")
 
 
-def pack(rows: DataFrame, capacity: int = 4096, max_docs: int = 4096, max_cost: int = 4096 * 4096, weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6), select: str = "norm", group: int = 8192, poor: float = 0.995) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = 4096, max_docs: int = 4096, max_cost: int = 4096 * 4096, weights: tuple[float, float, float] = WEIGHTS, select: str = "norm", group: int = 8192, poor: float = 0.995) -> DataFrame:
     """rows (doc_id, piece, length, ids_crc32, ...) with sequence_id and offset.
 
-    A round's sequences filled under `poor` are packed again together, while that is less than half of what it got.
+    Sequences filled under `poor` are packed again, at most half of a round's pieces, so rounds shrink and end.
     """
-    rows = cut(rows)
+    rows = cut(rows.drop("sequence_id", "offset"))
     size, done, level, args = rows.count(), [], 0, (capacity, max_docs, max_cost, weights, select)
-    while True:
-        got = _packed(rows, size, group, level, args)
-        if size <= group:
-            done.append(got)
+    while size > group:
+        got = cut(_packed(rows, size, group, level, poor, args))
+        done.append(got.filter(~F.col("__again")).drop("__again"))
+        rows = cut(got.filter("__again").select(*rows.columns))
+        before, size, level = size, rows.count(), level + 1
+        if size >= before:  # one sequence a group and nothing to gain
             break
-        got = cut(got)
-        left = got.filter(F.col("fill") < poor)
-        again = left.count()
-        if not again or again > size // 2 or level == 4:
-            done.append(got)
-            break
-        done.append(got.filter(F.col("fill") >= poor))
-        rows, size, level = cut(left), again, level + 1
-    out = done[0]
-    for x in done[1:]:
+    out = _packed(rows, 1, group, level, poor, args).drop("__again") if size <= group else _packed(rows, size, group, level, poor, args).drop("__again")
+    for x in done:
         out = out.unionByName(x)
-    return out.drop("fill")
+    return out

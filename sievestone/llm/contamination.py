@@ -12,7 +12,9 @@ The items go to every task, in blocks of at most `block` characters and one pass
 so what is broadcast is bounded whatever the size of the item table.
 
 Edge cases: items without words match nothing; null texts are empty; repeated items or documents give repeated rows;
-null ids are carried; empty tables give no rows. Other columns of the documents are ignored.
+null ids are carried, and ids may have any type; empty tables give no rows. contained() reads ids and texts only;
+decontaminated() keeps all columns of the documents, whatever their names. A very long text is read whole; the cache of
+words is bounded in bytes. Ties do not arise: every item that a document contains counts.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, map_arrow, texts
+from .common import Known, cut, map_arrow, texts
 
 BLOCK_CHARS = 4_000_000
 CACHE_WORDS = 300_000
@@ -39,19 +42,12 @@ class Hashes:
     """Hashes of words (cached, bounded) and of shingles, all of a text at once."""
 
     def __init__(self):
-        self.cache: dict[bytes, int] = {}
+        self.cache = Known(CACHE_WORDS)
 
     def words(self, words: list[bytes]) -> np.ndarray:
         from xxhash import xxh64_intdigest
 
-        try:
-            got = np.fromiter(map(self.cache.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            self.cache.update((w, xxh64_intdigest(w, 7)) for w in set(words) if w not in self.cache)
-            got = np.fromiter(map(self.cache.__getitem__, words), np.uint64, len(words))
-        return got
+        return np.array(self.cache.of(words, lambda new: (xxh64_intdigest(w, 7) for w in new)), np.uint64)
 
     @staticmethod
     def shingles(h: np.ndarray, width: int) -> np.ndarray:
@@ -130,10 +126,9 @@ def blocks(items: DataFrame, size: int = BLOCK_CHARS) -> Iterator[list[tuple[int
 
 def contained(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8, block: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, n_shingles, n_found: each pair whose document holds at least threshold of the item's shingles."""
-    kinds = [docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()]
-    schema, out = f"doc_id {kinds[0]}, item_id {kinds[1]}, n_shingles bigint, n_found bigint", None
-    kind = items.select("item_id").schema["item_id"].dataType
-    to_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
+    kinds = [docs.schema["doc_id"].dataType, items.schema["item_id"].dataType]
+    schema, out = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, n_shingles bigint, n_found bigint", None
+    ids = to_arrow_type(kinds[1])
     for part in blocks(items, block):
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
@@ -142,7 +137,7 @@ def contained(docs: DataFrame, items: DataFrame, width: int = 5, threshold: floa
             for batch in batches:
                 rows = [(k, *x) for k, t in enumerate(texts(batch)) for x in sketches.found(t, threshold)]
                 at = batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
-                yield pa.RecordBatch.from_arrays([at, pa.array([shared.value[r[1]][0] for r in rows], to_arrow), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], ["doc_id", "item_id", "n_shingles", "n_found"])
+                yield pa.RecordBatch.from_arrays([at, pa.array([shared.value[r[1]][0] for r in rows], ids), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], ["doc_id", "item_id", "n_shingles", "n_found"])
 
         got = map_arrow(docs.select("doc_id", "text"), run, schema)
         out = got if out is None else out.unionByName(got)

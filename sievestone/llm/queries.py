@@ -127,7 +127,4 @@ from p join b using (h)
 
 def oracle_sql() -> dict[str, str]:
     """Packing, fingerprints, sharding by hash, learned scores, tokenizers and float models are tested against brute force instead."""
-    out = {"op2_decontamination": _LEAKS_SQL, "op7_rules": _RULES_SQL, "op9_warc": _WARC_SQL}
-    import corpus_pipeline
-
-    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op2_decontamination": _LEAKS_SQL, "op7_rules": _RULES_SQL, "op9_warc": _WARC_SQL}

@@ -3,7 +3,9 @@
 import base64
 import collections
 import hashlib
+import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sievestone.llm import contamination, lm, packing, quality, rules, sharding, simhash, token_counts, toxicity, warc
 from sievestone.llm.components import components
+from oracle import DATA
 from sievestone.llm.queries import TOKENIZER, UNIGRAM, vocabulary_file
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, shard string, k string, fp string, `n` int"
@@ -84,6 +87,64 @@ def test_packing_constraints():
         packing.best_fit(np.array([300]), 200, 5, 12_000, (1, 0, 0))
 
 
+def brute_best_fit(sizes, caps, weights, dot):
+    """Plain lists: every open bin is looked at for every item."""
+    bins, where = [], []
+    for x in sizes:
+        need, best = (x, 1, x * x), None
+        for i, b in enumerate(bins):
+            left = [r - n for r, n in zip(b, need, strict=True)]
+            if min(left) < 0:
+                continue
+            if dot:
+                value = -sum(w * r * n / c**2 for w, r, n, c in zip(weights, b, need, caps, strict=True))
+            else:
+                value = sum(w * (r / c) ** 2 for w, r, c in zip(weights, left, caps, strict=True))
+            if best is None or value < best[0] - 1e-12:
+                best = value, i
+        if best is None:
+            bins.append(list(caps))
+            best = 0, len(bins) - 1
+        bins[best[1]] = [r - n for r, n in zip(bins[best[1]], need, strict=True)]
+        where.append(best[1])
+    return where, bins
+
+
+@pytest.mark.parametrize("select", ["norm", "dot"])
+def test_best_fit_brute_force(select):
+    rng = random.Random(4)
+    for weights in ((1.0, 0.25, 0.25), (0.2, 1.0, 0.5)):
+        sizes = sorted({rng.randint(1, 4000) for _ in range(150)}, reverse=True)
+        caps = (4096, 6, 9_000_000 + 7_000_000)
+        got, _ = packing.best_fit(np.array(sizes), *caps, weights, select)
+        want, bins = brute_best_fit(sizes, caps, weights, select == "dot")
+        loads = lambda of: sorted(sorted(x for x, b in zip(sizes, of, strict=True) if b == k) for k in set(of))
+        assert loads(list(got)) == loads(want) and len(set(got)) == len(bins)
+
+
+def test_weights_choose_without_cost():
+    rng = random.Random(8)
+    sizes = np.array(sorted((min(4096, int(rng.lognormvariate(5.5, 1.2)) + 1) for _ in range(4000)), reverse=True))
+    runs = {w: packing.best_fit(sizes, 4096, 4096, 4096**2, w)[0] for w in ((1.0, 1e-9, 1e-9), packing.WEIGHTS, (0.1, 1.0, 1.0))}
+    bound = -(-int(sizes.sum()) // 4096)
+    assert all(len(set(b.tolist())) <= bound + 1 for b in runs.values())
+    assert not np.array_equal(runs[1.0, 1e-9, 1e-9], runs[packing.WEIGHTS])
+
+
+@pytest.mark.parametrize("sizes", [[2200] * 90 + [1500] * 90, [3000] * 50 + [1096] * 50, [1] * 300 + [4000] * 40, [4096] * 20 + [1]])
+def test_many_groups_cost_nothing(spark, sizes):
+    rows = spark.createDataFrame([(f"d{i}", 0, 0, n, i, "x", 5) for i, n in enumerate(sizes)], "doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint, __g string, offset int")
+    got = packing.pack(rows, group=16).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for s in by.values():
+        ends = [0] + list(np.cumsum([n for _, n in sorted(s)]))
+        assert [a for a, _ in sorted(s)] == ends[:-1] and ends[-1] <= 4096
+    alone = len(set(packing.best_fit(np.array(sorted(sizes, reverse=True)), 4096, 4096, 4096**2, packing.WEIGHTS)[0].tolist()))
+    assert len(got) == len(sizes) and len(by) <= alone + 1 and all(r["__g"] == "x" for r in got)
+
+
 def test_word_ids_are_the_tokenizers():
     from tokenizers import Tokenizer
 
@@ -118,6 +179,12 @@ def test_contamination_brute_force(spark, empty):
     assert contamination.contained(empty, items_df).count() == 0
     assert contamination.contained(table_of(spark, rows), items_df.limit(0)).count() == 0
     assert contamination.decontaminated(table_of(spark, rows), items_df.limit(0)).count() == len(rows)
+    for kind in ("smallint", "double", "string", "date"):
+        some = items_df.limit(5).select(F.when(F.lit(kind == "date"), F.lit("2020-01-01")).otherwise(F.lit("7")).cast(kind).alias("item_id"), "text")
+        assert contamination.contained(table_of(spark, rows), some).schema["item_id"].dataType.simpleString() == kind
+        assert contamination.contained(table_of(spark, rows), some).count() > 0
+    odd = table_of(spark, rows).withColumn("item_id", F.lit("c")).withColumn("n_found", F.lit(1))
+    assert contamination.decontaminated(odd, items_df, block=400).columns == odd.columns
 
 
 # 3 ----------------------------------------------------------------------------------------------------------------
@@ -137,11 +204,12 @@ def brute_components(fps, radius):
     return {f: find(f) for f in fs}
 
 
-@pytest.mark.parametrize("tile", [4096, 8])
-def test_links_connect_all(spark, tile):
+@pytest.mark.parametrize("tile,hot", [(4096, 16384), (8, 16), (4, 4), (100, 6)])
+def test_links_connect_all(spark, tile, hot):
     rng = random.Random(2)
     fps = {rng.getrandbits(64) for _ in range(150)}
-    for f in list(fps)[:40]:
+    fps |= {0x1234 << 48 | rng.getrandbits(48) for _ in range(40)} | {0x77 << 8 | rng.getrandbits(8) | rng.getrandbits(24) << 40 for _ in range(60)}  # blocks that many share
+    for f in list(fps)[:60]:
         for _ in range(6):
             g = f
             for b in rng.sample(range(64), rng.randint(1, 6)):
@@ -149,7 +217,7 @@ def test_links_connect_all(spark, tile):
             fps.add(g)
     signed = [f - 2**64 if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(f,) for f in signed], "fp bigint")
-    got = {r.node: r.root for r in components(simhash.links(df, len(signed), 4, tile)).collect()}
+    got = {r.node: r.root for r in components(simhash.links(df, len(signed), 4, tile, hot)).collect()}
     want = brute_components(signed, 4)
     group = lambda of: {frozenset(g) for g in _groups({f: of.get(f, f) for f in signed}).values()}
     assert group(got) == group(want)
@@ -162,6 +230,36 @@ def _groups(of):
     return out
 
 
+def plain_fingerprint(text):
+    """Bit by bit, with no code of the operator."""
+    from xxhash import xxh64
+
+    words = [w.decode() for w in re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()).split()]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxh64(x.encode(), 42).intdigest() for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_brute_force():
+    rng = random.Random(5)
+    texts = [prose(rng, n) for n in (1, 2, 3, 4, 5, 6, 7, 8, 50, 51, 400)] + ["É Ü é A\tB\x0bc D", "a b c d a b c d a b c d", "x y", LONG, " ".join(f"q{i % 70001}" for i in range(70_000))]
+    assert [simhash.fingerprint(t.encode()) for t in texts] == [plain_fingerprint(t) for t in texts]
+
+
+@pytest.mark.parametrize("count", [1, 5_000, 3_000_000, 10**9, 10**12])
+def test_close_pairs_share_a_key(count):
+    rng = random.Random(count)
+    for _ in range(300):
+        a = rng.getrandbits(64)
+        b = a
+        for i in rng.sample(range(64), 4):
+            b ^= 1 << i
+        shared = [m for m in simhash.masks(count, 4) if a & m == b & m]
+        assert shared and all(any(a & x == b & x for x in simhash.finer(m, 4)) for m in shared)
+
+
 def test_near_duplicates(spark, docs, empty):
     rows = [(key(r.doc_id), r.fp, r.component_id) for r in simhash.near_duplicates(docs).collect()]
     assert len(rows) == len(corpus())
@@ -176,6 +274,18 @@ def test_near_duplicates(spark, docs, empty):
     assert len(kept) == len(set(comp.values())) and {key(r.doc_id) for r in kept} == {i for i in least.values() if i is not None}
     assert kept[0].__fields__ == docs.columns
     assert simhash.near_duplicates(empty).count() == simhash.representatives(empty).count() == 0
+    odd = docs.withColumns({n: F.lit(n) for n in ("__id", "__own", "part", "place", "root", "node", "component_id", "first")})
+    again = simhash.representatives(odd)
+    assert again.columns == odd.columns and again.count() == len(kept)
+
+
+def test_hot_fingerprints(spark):
+    rng = random.Random(6)
+    rows = [(i, "" if i % 3 == 0 else "the same words again" if i % 3 == 1 else prose(rng, 30)) for i in range(900)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(table_of(spark, rows)).collect()}
+    assert all(got[i] == i % 3 for i in got if i % 3 < 2) and len(got) == 900
+    where = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash.representatives(where).collect()) == sorted(set(got.values()))
 
 
 def _same(f, t):
@@ -225,8 +335,13 @@ def test_held_out(spark, docs, empty, module, column, at):
     got = {r.doc_id: r.score for r in module.score(df, model).collect()}
     out = [(got[t[0]] >= 0.3, t[at] == 1) for t in truth if zlib.crc32(str(t[0]).encode()) % folds == held]
     assert sum(a == b for a, b in out) >= 0.97 * len(out) and all(0 <= s <= 1 for s in got.values())
-    edge = module.score(docs, model, keep=True)
-    assert edge.count() == len(corpus()) and edge.columns == [*docs.columns, "__score"] and edge.filter("__score is null").count() == 0
+    edge = module.score(docs, model)
+    assert edge.count() == len(corpus()) and edge.filter("score is null").count() == 0
+    odd = docs.withColumns({"__score": F.lit("x"), "__label": F.lit(1)})
+    all_kept = module.kept(odd, model, 2.0 if module is toxicity else -1.0)
+    assert all_kept.columns == odd.columns and sorted(map(str, all_kept.collect())) == sorted(map(str, odd.collect()))
+    want = [key(r.doc_id) for r in edge.collect() if (r.score >= 0.3) == (module is quality)]
+    assert sorted(key(r.doc_id) for r in module.kept(odd, model, 0.3).collect()) == sorted(want)
     assert module.score(empty, model).count() == 0
     none = module.fit(df, labels.limit(0))
     assert 0 <= module.score(df, none).first().score <= 1
@@ -244,9 +359,64 @@ def test_rare_marks_are_learned(spark):
     assert all(got[i] >= 0.3 for i in own) and sum(got[t[0]] >= 0.3 for t in truth if t[2] == 0) <= 6
 
 
-def test_chance_of_marks():
-    assert toxicity._chance({1: 1000, 5: 100}, 0.5, 1.0) == 0.0  # none in enough rows
-    assert toxicity._chance({1: 10**6, 30: 100}, 0.5, 1.0) == 0.01  # what cannot pass is not tested
+def test_cutoff():
+    assert toxicity.cutoff({10: 50, 20: 5}, 1000, 0.1) is None
+    assert toxicity.cutoff({10: 50, 150: 5, 90: 10}, 1000, 0.1) == 90  # 1000 e^-9 is 0.12, under a tenth of 15
+
+
+def test_stems_need_several_words(spark):
+    rows = [("only*", 30, 0), ("onlyone", 30, 0), ("zor", 9, 0), ("zorba*", 30, 0)] + [(f"zorba{c}", 8, 0) for c in "abcd"] + [(f"clean{i}", 0, 40) for i in range(50)]
+    rows += [("hitting", 20, 0), ("hitting>", 15, 0), ("named", 20, 0), ("named>", 2, 0)]
+    counts = spark.createDataFrame(rows, "mark string, pos bigint, neg bigint")
+    words, stems = toxicity.telling(counts, {0: 400, 1: 60}, 0.1, 0.95, 3)
+    assert list(stems) == ["zorba"] and words["hitting"] == toxicity.THREAT and words["named"] == words["onlyone"] == toxicity.INSULT
+    assert not any(w.startswith("clean") for w in words)
+
+
+def side_by_side(codes):
+    """The five machines run on their own, each arc's numbers applied word by word."""
+    states, total = {n: next(iter(m)) for n, m in toxicity.MACHINES.items()}, 0.0
+    symbols = [s for c in codes for s in ([c & 15] + [toxicity.COMMA] * bool(c & toxicity.AFTER_COMMA))]
+    for c in symbols:
+        add, damp, scale = 0.0, 1.0, 1.0
+        for n, m in toxicity.MACHINES.items():
+            to, x = m[states[n]][c] if c in m[states[n]] else m[states[n]]["*"]
+            damp, scale = damp * toxicity.damped(n, states[n]), scale * toxicity.scaled(n, states[n], c)
+            states[n], add = to, add + x
+        total = total * scale + damp * add
+    return total
+
+
+def test_composition():
+    rng = random.Random(1)
+    for _ in range(3000):
+        codes = [rng.randrange(toxicity.COMMA) + rng.choice([0, 0, 0, toxicity.AFTER_COMMA]) for _ in range(rng.randint(1, 12))]
+        assert toxicity.weight(codes) == pytest.approx(side_by_side(codes), abs=1e-12)
+
+
+def normal_equations(rows, model):
+    z = model.random(np.array([r["x"] for r in rows]))
+    w, y = np.array([r["w"] for r in rows]), np.array([r["__label"] for r in rows], float)
+    return (z * w[:, None]).T @ z, (z * w[:, None]).T @ y
+
+
+def test_normal_equations(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, int(rng.random() < 0.4), rng.normal(size=quality.N_STATS).tolist(), float(rng.random())) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, __label int, x array<double>, w double").repartition(7)
+    model = quality.Model(np.zeros(quality.N_STATS), np.ones(quality.N_STATS), rng.normal(size=(quality.N_STATS, 40)), rng.uniform(0, 6, 40), None, None)
+    for a, b in zip(quality._sums(df, model), normal_equations(df.collect(), model), strict=True):
+        assert np.allclose(a, b, atol=1e-9)
+
+
+def test_random_features_are_a_kernel():
+    rng = np.random.default_rng(3)
+    n = quality.N_STATS
+    model = quality.Model(np.zeros(n), np.ones(n), rng.normal(0, 1 / (2 * n**0.5), (n, 60_000)), rng.uniform(0, 2 * np.pi, 60_000), None, None)
+    x = rng.normal(size=(6, n))
+    z = model.random(x)[:, :-1]
+    exact = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1) / (2 * 4 * n))
+    assert np.abs(z @ z.T - exact).max() < 0.03
 
 
 @pytest.mark.parametrize("module,folds,held", [(quality, 5, 0), (toxicity, 4, 2)])
@@ -263,15 +433,55 @@ def test_isotonic():
 
     x, y = isotonic(np.array([1.0, 2, 3, 4, 5]), np.array([0.0, 1, 0, 1, 1]), np.ones(5))
     assert list(y) == sorted(y) and y[0] == 0 and 0.5 in y
+    tied = [isotonic(np.array([1.0, 1, 1, 2])[list(p)], np.array([0.0, 1, 0, 1])[list(p)], np.ones(4)) for p in ((0, 1, 2, 3), (3, 1, 0, 2), (2, 0, 1, 3))]
+    assert all(list(x) == [1, 2] and y == pytest.approx([1 / 3, 1]) for x, y in tied)
+
+
+def isotonic_brute(y, w):
+    """min over later ends of max over earlier starts of the means."""
+    mean = lambda a, b: sum(p * q for p, q in zip(y[a:b], w[a:b], strict=True)) / sum(w[a:b])
+    return [max(min(mean(a, b) for b in range(i + 1, len(y) + 1)) for a in range(i + 1)) for i in range(len(y))]
+
+
+def test_isotonic_brute_force():
+    from sievestone.llm.learning import isotonic
+
+    rng = np.random.default_rng(2)
+    for _ in range(100):
+        n = int(rng.integers(1, 12))
+        s, y, w = np.arange(n) * 1.0, rng.integers(0, 2, n) * 1.0, rng.random(n) + 0.1
+        x, p = isotonic(s, y, w)
+        want = isotonic_brute(list(y), list(w))
+        assert sorted(set(np.round(p, 9))) == sorted(set(np.round(want, 9)))
 
 
 def test_grammar():
     lex = toxicity.Lexicon(toxicity.base_lexicon(), {})
-    weight = lambda s: sum(lex.clauses(s.encode())[1])
-    assert weight("you are an idiot.") > weight("an idiot came.") > weight("you are not an idiot.")
-    assert weight("she said an idiot came.") < weight("an idiot came.")
-    assert weight("i will kill you.") > 0 and weight("they kill time.") >= 0 and weight("kill the lights.") == 0
-    assert weight("hello there. fine!") == 0 and lex.features(b"") == [1.0, 0.0, 0.0, 0.0, 0.0]
+    clauses = lambda s: lex.clauses(s.encode())[1]
+    matched = lambda s: any(w >= toxicity.MATCH for w in clauses(s))
+    for s in ("you are an idiot.", "idiot, you are.", "you stupid idiot", "he is, i think, a moron", "i will kill you.", "kill them all", "we'll hurt your friends", "ich werde dich töten", "tu es un idiota crétin"):
+        assert matched(s), s
+    for s in ("an idiot came.", "trash day is monday.", "kill the process and tell them.", "he burn the toast you like", "i did not say you are an idiot.", "you are not an idiot.", "she said you are an idiot.", "you are an idiot, he wrote.", "they kill time.", "kill the lights.", "hello there. fine!", "you threw out the trash"):
+        assert not matched(s), s
+    assert matched("i am not sure, you are an idiot") and matched("he said nothing but you are an idiot")
+    assert lex.features(b"") == [1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0] and lex.features(b"an idiot came.") == [1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    assert len(clauses("you are an idiot. hello. you are scum\nyou moron; fine")) == 3
+    fixed = toxicity.Model({}, {}, toxicity.FIXED)
+    low, high = fixed.score([b"an idiot came. hello."]), fixed.score([b"you are an idiot."])
+    assert low < 0.3 < high
+
+
+def test_copies_teach_nothing(spark):
+    rng = random.Random(2)
+    clean = [prose(rng, 80) for _ in range(300)]
+    base = prose(rng, 80) + " blorptag sits here " + prose(rng, 80)
+    copies = [(base + f" tail{i}" if i % 2 else f"head{i} " + base, 1) for i in range(60)]
+    other = [(prose(rng, 30) + " grumbix " + prose(rng, 30), 1) for _ in range(30)]
+    rows = spark.createDataFrame([(t, 0) for t in clean] + copies + other, "text string, __label int").withColumn("doc_id", F.monotonically_increasing_id())
+    once = toxicity.one_of_copies(rows)
+    size = {r["__label"]: r["n"] for r in once.groupBy("__label").agg(F.count("*").alias("n")).collect()}
+    words, _ = toxicity.telling(toxicity._counts(once), size, 0.1, 0.95, 3)
+    assert "grumbix" in words and "blorptag" not in words and once.filter("text like '%blorptag%'").count() <= 2
 
 
 # 6 ----------------------------------------------------------------------------------------------------------------
@@ -287,22 +497,37 @@ def test_sharding_rules(spark, docs, empty):
     assert sharding.shard(empty).count() == 0
 
 
-def test_cuts_are_minimax(spark):
-    rng = random.Random(4)
-    groups = [(rng.getrandbits(64) - 2**63, rng.choice([1, 2, 3, 5, 8])) for _ in range(3000)] + [(5 << 20 | i, 3) for i in range(300)]
-    of, starts, largest = sharding.cuts(spark.createDataFrame(groups, "h bigint, weight bigint"), 3)
-    limit = sum(w for _, w in groups) // (64 * 3)
-    light = sorted(g for g in groups if g[1] <= limit)
-    ends, total = [], 0
-    for _, w in light:
-        total += w
-        ends.append(total)
-    load = [sum(w for h, w in groups if of.get(h) == s) for s in range(3)]
-    best = sharding.smallest(ends, [False] * len(ends), load)
-    got = list(load)
-    for h, w in light:
-        got[sum(x is not None and h >= x for x in starts)] += w
-    assert max(got) == largest == max([best, *load])
+def least_largest(weights, shards):
+    """The smallest largest sum of a contiguous partition, by dynamic programming over all cuts."""
+    ends = [0, *np.cumsum(weights).tolist()]
+    best = [0] + [10**18] * len(weights)
+    for _ in range(shards):
+        best = [min([best[j]] + [max(best[i], ends[j] - ends[i]) for i in range(j)]) for j in range(len(ends))]
+    return best[-1]
+
+
+@pytest.mark.parametrize("heavy", [[], [900], [400, 300, 200], [60] * 12, [5000]])
+def test_cuts_are_minimax(spark, heavy):
+    rng = random.Random(len(heavy))
+    groups = [(rng.getrandbits(64) - 2**63, rng.choice([1, 2, 3, 5, 8])) for _ in range(200)] + [(5 << 20 | i, 3) for i in range(60)] + [(rng.getrandbits(63), w) for w in heavy]
+    of, starts = sharding.cuts(spark.createDataFrame(groups, "h bigint, weight bigint"), 4)
+    order = sorted((of.get(h, h), w) for h, w in groups)
+    shard = [sum(p >= x for x in starts) for p, _ in order]
+    assert shard == sorted(shard) and shard[-1] < 4  # contiguous in the order of places
+    loads = [sum(w for (_, w), s in zip(order, shard, strict=True) if s == k) for k in range(4)]
+    assert max(loads) == least_largest([w for _, w in order], 4)
+    if heavy == [5000]:  # the rest is divided by the same rule
+        assert sorted(loads)[-2] <= sorted(loads)[0] + 8
+
+
+def test_divided_brute_force():
+    rng = random.Random(1)
+    for _ in range(400):
+        weights = [rng.choice([1, 1, 2, 3, 5, 8, 40, 100][: rng.randint(1, 8)]) for _ in range(rng.randint(1, 12))]
+        shards, ends = rng.randint(1, 6), np.cumsum(weights).tolist()
+        got = sharding.divided(ends, [False] * len(ends), shards)
+        loads = np.diff([0, *got]).tolist()
+        assert got[-1] == ends[-1] and set(got) <= set(ends) and len(got) <= shards and max(loads) == least_largest(weights, shards)
 
 
 def test_hot_group_leaves_others_even(spark):
@@ -332,11 +557,32 @@ def test_rules(spark, docs, empty):
     assert got.filter("base_failed and kept").count() == 0 and rules.apply_rules(empty).count() == 0
     base = rules.base(df).filter("n_words > 0")
     order = list(rules.RULES)
+    with pytest.raises(ValueError):
+        rules.base(df.withColumn("n_words", F.lit(1)), carry=("n_words",))
+    assert rules.base(df, carry=("k", "score")).columns[:3] == ["doc_id", "k", "score"]
     a = {(r.doc_id, r.n_words): r.rejected_by is None for r in rules.cascade(base, rules.RULES, order).collect()}
     b = {(r.doc_id, r.n_words): r.rejected_by is None for r in rules.cascade(base, rules.RULES, order[::-1]).collect()}
     assert a == b
 
 
+def test_windows_are_compared_by_words(spark, monkeypatch):
+    monkeypatch.setattr(rules.F, "xxhash64", lambda *c: F.lit(7).cast("bigint"))  # all hashes meet
+    rows = [(i, t) for i, t in corpus() if len(t or "") < 3000]
+    got = rules.base(table_of(spark, rows)).select("doc_id", "n_words", "n_repeat_words").collect()
+    assert collections.Counter((key(r.doc_id), r.n_words, r.n_repeat_words) for r in got) == collections.Counter((key(i), brute_base(t)[0], brute_base(t)[4]) for i, t in rows)
+
+
+def test_costs_are_measured(spark, docs):
+    some = rules.cut(rules.base(docs).filter("n_words > 5"))
+    own = {"cheap": "n_words > 1000000", "dear": "length(regexp_replace(__text, '([a-z]+) +([a-z]+)', '$2 $1')) < 20"}
+    got = rules.measured(some, own)
+    assert got["dear"][1] > 5 * got["cheap"][1] > 0 and got["cheap"][0] == 0
+    assert rules.ordered(some, {"never": "false", "always": "true"}) == ["always", "never"]
+    assert rules.ordered(some.limit(0), own) == list(own)
+    chosen = rules.sampled(table_of(spark, [(1, f"text {i}") for i in range(3000)]), 100)  # one id for all rows
+    assert 50 < chosen.count() < 170 and rules.sampled(docs.limit(0)).count() == 0
+
+
 # 8 ----------------------------------------------------------------------------------------------------------------
 def brute_count(text, vocab, unknown):
     s = (" " + text).replace(" ", "▁") if text else ""
@@ -356,26 +602,33 @@ def brute_count(text, vocab, unknown):
 
 
 def test_token_counts(spark, docs, empty):
-    from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
+    from sentencepiece import SentencePieceProcessor
 
     path = vocabulary_file(UNIGRAM)
-    proto = sentencepiece_model_pb2.ModelProto.FromString(open(path, "rb").read())
+    proto = token_counts.unigram(token_counts.load(path))
     vocab = {p.piece: p.score for p in proto.pieces if p.type == 1}
-    count = token_counts.Counter(path)
+    count, library = token_counts.Counter(proto), SentencePieceProcessor(model_proto=proto.SerializeToString())
     rng = random.Random(8)
-    texts = [t for _, t in corpus() if t and len(t) < 3000] + ["".join(rng.choices("the in an ñé漢\n  ", k=40)) for _ in range(80)]
+    texts = [t for _, t in corpus() if t and len(t) < 3000] + ["".join(rng.choices("the in an ñé漢▁\n  ", k=40)) for _ in range(200)]
     assert [count(t.encode()) for t in texts] == [brute_count(t, vocab, min(vocab.values()) - 10) for t in texts]
+    texts += [t for _, t in corpus() if t] + [" ".join(texts) * 20]
+    assert [count(t.encode()) for t in texts] == [len(library.encode(t)) for t in texts]
     got = token_counts.token_counts(docs, path).collect()
-    assert collections.Counter((key(r.doc_id), r.n_tokens) for r in got) == collections.Counter((key(i), count((t or "").encode())) for i, t in corpus())
+    assert collections.Counter((key(r.doc_id), r.n_tokens) for r in got) == collections.Counter((key(i), len(library.encode(t or ""))) for i, t in corpus())
     assert token_counts.token_counts(empty, path).count() == 0
-    for p in proto.pieces:  # with scores whose sums don't round in 32 bits, the library itself agrees
-        p.score = max(p.score, -40_000)
-    proto.trainer_spec.model_type = 1
-    library = SentencePieceProcessor(model_proto=proto.SerializeToString())
-    with open("/tmp/sievestone-unigram.model", "wb") as f:
-        f.write(proto.SerializeToString())
-    count = token_counts.Counter("/tmp/sievestone-unigram.model")
-    assert [count(t[:800].encode()) for t in texts] == [len(library.encode(t[:800])) for t in texts]
+    before, count.cache.most = count(texts[0].encode()), 3
+    assert [count(t.encode()) for t in texts[:50]] == [len(library.encode(t)) for t in texts[:50]] and before == count(texts[0].encode())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_token_counts_of_a_table(spark):
+    from sentencepiece import SentencePieceProcessor
+
+    path = vocabulary_file(UNIGRAM)
+    library = SentencePieceProcessor(model_proto=token_counts.unigram(token_counts.load(path)).SerializeToString())
+    rows = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(rows, path).collect()}
+    assert got == {r.doc_id: len(library.encode(r.text or "")) for r in rows.select("doc_id", "text").collect()}
 
 
 # 9 ----------------------------------------------------------------------------------------------------------------
@@ -405,6 +658,25 @@ def test_warc(spark, tmp_path, least):
     assert warc.read(warc.write(df.limit(0), where + "e"), where + "e").count() == 0
 
 
+def test_warc_with_names(spark, tmp_path):
+    pages = [("a/b c", "u", "x"), ("ü>", "u", "x"), (None, "u", "y"), ("z", None, None)]
+    df = spark.createDataFrame([(*p, 1, "c") for p in pages], "page_id string, url string, html string, `__row` int, `__digest` string")
+    index = warc.write(df, f"file://{tmp_path}/w")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read(index, f"file://{tmp_path}/w").collect()}
+    assert got == {"a/b c": ("revisit", "ü>"), "ü>": ("response", None), None: ("response", None), "z": ("response", None)}
+    with pytest.raises(ValueError):
+        warc.write(df.withColumn("page_id", F.lit(1.5)), f"file://{tmp_path}/v")
+
+
+def test_warc_of_equal_pages(spark, tmp_path):
+    df = spark.range(4000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("p"), "id")).alias("html")).repartition(6)
+    where = f"file://{tmp_path}/w"
+    got = warc.read(warc.write(df, where, roll=30_000), where, most=4000)
+    assert got.rdd.getNumPartitions() > 4
+    rows = got.collect()
+    assert len(rows) == 4000 and {r.refers_to for r in rows} == {None, 3999} and sum(r.record_type == "revisit" for r in rows) == 1333
+
+
 # 10 ---------------------------------------------------------------------------------------------------------------
 def test_language_models(spark, docs, empty):
     good, rest = docs.filter("doc_id < 30"), docs.filter("doc_id is null or doc_id >= 30")

@@ -6,31 +6,26 @@ pieces. Between stages the rows are written as Parquet in the shared folder and
 Edge cases: null and empty texts pass toxicity, are scored for quality like any other, form one group of near
 duplicates with each other, contain no benchmark item and pack as their end id. Of a group of near duplicates the
 document with the smallest doc_id stays (of repeated rows with that id, one); rows with a null doc_id stay only where
-nothing else of their group has an id (one of them). Extra columns are carried.
+nothing else of their group has an id (one of them). Extra columns are carried, whatever their names, up to packing.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sievestone.llm import contamination, packing, quality, simhash, toxicity
-from sievestone.llm.common import shared_dir, ship, table
+from sievestone.llm.common import scratch, ship, table
 from sievestone.llm.queries import TOKENIZER, vocabulary_file
 
 THRESHOLD = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=True).filter(F.col("__score") < THRESHOLD).drop("__score")
+    return toxicity.kept(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), THRESHOLD)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, keep=True).filter(F.col("__score") >= THRESHOLD).drop("__score")
+    return quality.kept(docs, quality.fit(docs, table(spark, sf_dir, "labels")), THRESHOLD)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +50,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, one after the other."""
     docs = table(ship(spark), sf_dir, "documents")
-    where = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    where = scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{where}/{k}-{name}")
         docs = spark.read.parquet(f"{where}/{k}-{name}")

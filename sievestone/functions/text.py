@@ -8,23 +8,24 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf, pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, StringType
 
 from .stemming import stem
 
 TOKEN = "[\\p{L}\\p{Nd}]+"
 IDENT = "[\\p{L}\\p{Nd}_-]+"
+COMPOUND = "[_-]|[^\\p{Lu}]\\p{Lu}|\\p{Lu}\\p{Lu}\\p{Ll}"  # what any identifier of two words holds
 
 
 def fold(s: Column) -> Column:
     """Lower case, ё as е."""
-    return F.translate(F.lower(s), "ё", "е")
+    return F.replace(F.lower(s), F.lit("ё"), F.lit("е"))
 
 
 def tokens(s: Column) -> Column:
@@ -40,7 +41,7 @@ def split_ident(word: Column) -> Column:
 
 def idents(s: Column) -> Column:
     """Of each identifier of two words or more: its words and then the words joined; not stemmed."""
-    runs = F.regexp_extract_all(s, F.lit(IDENT), F.lit(0))
+    runs = F.filter(F.regexp_extract_all(s, F.lit(IDENT), F.lit(0)), lambda x: F.regexp_like(x, F.lit(COMPOUND)))
     parts = F.filter(F.transform(runs, split_ident), lambda p: F.size(p) > 1)
     return F.flatten(F.transform(parts, lambda p: F.concat(p, F.array(F.array_join(p, "")))))
 
@@ -97,22 +98,49 @@ def py_idents(s: str) -> str:
     return " ".join(out)
 
 
-@pandas_udf(StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+@arrow_udf(StringType())
+def nfc(s: pa.Array) -> pa.Array:
+    return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in s.to_pylist()], pa.string())
+
+
+FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3  # fixed values
 
 
 def fnv1a64_text(data: bytes) -> str:
     """FNV-1a, 64 bits, lower-case hexadecimal without leading zeros."""
-    h = 0xCBF29CE484222325
+    h = FNV_START
     for b in data:
-        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
+        h = ((h ^ b) * FNV_PRIME) & 0xFFFFFFFFFFFFFFFF
     return f"{h:x}"
 
 
-@pandas_udf(StringType())
-def fnv1a64(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else fnv1a64_text(x.encode()))
+def fnv1a64_all(texts: pa.Array) -> list[str | None]:
+    """The hash of each text, one byte of all of them at a time: longest first, so that those with bytes left are in front."""
+    raw = texts.cast(pa.binary())
+    offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64) if len(raw) else np.zeros(1, np.int64)
+    data = np.frombuffer(raw.buffers()[2], np.uint8) if len(raw) and raw.buffers()[2] else np.empty(0, np.uint8)
+    size = np.diff(offsets)
+    by = np.argsort(-size, kind="stable")
+    start, left, h = offsets[:-1][by], size[by], np.full(len(size), FNV_START, np.uint64)
+    at, live = 0, int((left > 0).sum())
+    while live > 8:
+        h[:live] = (h[:live] ^ data[start[:live] + at]) * np.uint64(FNV_PRIME)
+        at += 1
+        live = int(np.searchsorted(-left[:live], -at, side="left"))
+    for i in range(live):  # a few very long ones
+        x = int(h[i])
+        for b in data[start[i] + at : start[i] + left[i]].tolist():
+            x = ((x ^ b) * FNV_PRIME) & 0xFFFFFFFFFFFFFFFF
+        h[i] = x
+    out: list[str | None] = [None] * len(size)
+    for i, x in zip(by.tolist(), h.tolist(), strict=True):
+        out[i] = f"{x:x}"
+    return [o if ok else None for o, ok in zip(out, raw.is_valid().to_pylist(), strict=True)]
+
+
+@arrow_udf(StringType())
+def fnv1a64(s: pa.Array) -> pa.Array:
+    return pa.array(fnv1a64_all(s), pa.string())
 
 
 def human_size(n: Column) -> Column:

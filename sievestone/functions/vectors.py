@@ -107,18 +107,67 @@ def from_json(s: Column) -> Column:
     return F.from_json(s, "array<float>")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def from_blob(b: Column) -> Column:
     """A float vector from its bytes, little-endian, by arithmetic on the four bytes of each."""
-    h = F.hex(b)
-    word = lambda i: F.conv(F.concat(*(F.substring(h, i * 8 + 1 + 2 * k, 2) for k in (3, 2, 1, 0))), 16, 10).cast("bigint")
 
-    def value(i: Column) -> Column:
-        w = word(i)
+    def value(w: Column) -> Column:
         sign = F.when(w >= 1 << 31, -1.0).otherwise(1.0)
         e, m = F.shiftright(w, 23).bitwiseAND(F.lit(255)), w.bitwiseAND(F.lit((1 << 23) - 1))
-        return (sign * F.when(e == 0, m * F.pow(F.lit(2.0), F.lit(-149.0))).otherwise((m + (1 << 23)) * F.pow(F.lit(2.0), e.cast("double") - 150))).cast("float")
+        special = (e == 255) & (m > 0)
+        return F.when(special, F.lit(float("nan"))).otherwise(sign * F.when(e == 0, m * F.pow(F.lit(2.0), F.lit(-149.0))).otherwise((m + (1 << 23)) * F.pow(F.lit(2.0), e.cast("double") - 150))).cast("float")  # an exponent of 255 overflows to infinity
+
+    def values(h: Column) -> Column:
+        word = lambda i: F.conv(F.concat(*(F.substring(h, i * 8 + 1 + 2 * k, 2) for k in (3, 2, 1, 0))), 16, 10).cast("bigint")
+        return F.transform(F.sequence(F.lit(0), (F.length(h) / 8).cast("int") - 1), lambda i: _let(word(i), value))
+
+    return F.when(F.octet_length(b) >= 4, _let(F.hex(b), values)).otherwise(F.array().cast("array<float>"))
+
+
+def to_blob(v: Column) -> Column:
+    """The bytes of a float vector, little-endian, by arithmetic; what from_blob() reads. NaN keeps no payload."""
+    def word(x: Column) -> Column:
+        a = F.abs(x.cast("double"))
+        sign = F.when((x < 0) | (x.cast("string") == "-0.0"), F.lit(1 << 31)).otherwise(F.lit(0)).cast("bigint")
+
+        def finite(e: Column) -> Column:
+            return _let((a * F.pow(F.lit(2.0), (23 - e).cast("double"))).cast("bigint"), lambda m: F.when(m < 1 << 23, m).otherwise(m - (1 << 23) + F.shiftleft((e + 127).cast("bigint"), 23)))
+
+        def exact(e: Column) -> Column:  # the logarithm may round up or down by one
+            return F.greatest(F.lit(-126), e + F.when(a >= F.pow(F.lit(2.0), (e + 1).cast("double")), 1).when(a < F.pow(F.lit(2.0), e.cast("double")), -1).otherwise(0))
+
+        bits = _let(F.greatest(F.floor(F.log2(a)), F.lit(-126)).cast("int"), lambda e: _let(exact(e), finite))
+        infinite, none = F.lit(0x7F800000).cast("bigint"), F.lit(0x7FC00000).cast("bigint")
+        return sign + F.when(F.isnan(x), none).when(a == 0, F.lit(0).cast("bigint")).when(a == float("inf"), infinite).otherwise(bits)
+
+    reversed_ = lambda h: F.concat(*(F.substring(h, k, 2) for k in (7, 5, 3, 1)))
+    return F.unhex(F.array_join(F.transform(v, lambda x: _let(F.lpad(F.hex(word(x)), 8, "0"), reversed_)), ""))
+
+
+def int8_vector(s: Column) -> Column:
+    """A signed-byte vector from JSON text; null where an element is no integer from -128 to 127."""
+    v = F.from_json(s, "array<int>")
+    return F.when(F.forall(v, lambda x: x.between(-128, 127)), v.cast("array<tinyint>"))
+
+
+def int8_blob(b: Column) -> Column:
+    """A signed-byte vector from its bytes."""
+    return _bytes(b)
+
+
+def bit_blob(b: Column) -> Column:
+    """A bit vector (eight bits an element) from its bytes; their number times eight is its dimension."""
+    return _bytes(b)
+
 
-    return F.transform(F.sequence(F.lit(0), (F.octet_length(b) / 4).cast("int") - 1), value)
+def _bytes(b: Column) -> Column:
+    of = lambda h, i: F.conv(F.substring(h, 2 * i + 1, 2), 16, 10).cast("int")
+    values = lambda h: F.transform(F.sequence(F.lit(0), (F.length(h) / 2).cast("int") - 1), lambda i: _wrap(of(h, i)))
+    return F.when(F.octet_length(b) > 0, _let(F.hex(b), values)).otherwise(F.array().cast("array<tinyint>"))
 
 
 def quantize_int8(v: Column) -> Column:

@@ -13,7 +13,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..session import map_arrow
 
@@ -188,3 +190,14 @@ def chunks(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP, structure
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["path", "seq", "text", "line_start", "line_end"])
 
     return map_arrow(files.select("path", "text"), run, "path string, seq int, text string, line_start int, line_end int")
+
+
+def overlap_before(rows: DataFrame, key: str, seq: str, n: int) -> DataFrame:
+    """rows (with text) and overlap: the tail of at most n characters of the chunk before; empty for a file's first chunk."""
+
+    @arrow_udf("string")
+    def tails(texts: pa.Array) -> pa.Array:
+        return pa.array([tail(t or "", n) for t in texts.to_pylist()], pa.string())
+
+    before = F.lag("text").over(Window.partitionBy(key).orderBy(seq))
+    return rows.withColumn("overlap", before).withColumn("overlap", tails("overlap"))

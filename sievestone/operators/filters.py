@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.text import extension
 
 
-def subtree(path: Column, prefix: str) -> Column:
+def subtree(path: Column, prefix: str | Column) -> Column:
     """The path itself or anything below it; case matters, and names with wildcard characters are literal."""
+    if isinstance(prefix, Column):
+        return (path == prefix) | path.startswith(F.concat(F.rtrim(prefix, F.lit("/")), F.lit("/")))
     p = prefix.rstrip("/") or "/"
     return (path == p) | path.startswith(p if p == "/" else p + "/")
 
@@ -109,9 +111,10 @@ def best_root(rows: DataFrame, roots: list[str], name: str = "root") -> DataFram
     return rows.withColumn(name, found)
 
 
-def add_root(roots: Column, new: str) -> Column:
+def add_root(roots: Column, new: str | Column) -> Column:
     """roots with a new one, unless covered; roots inside it are absorbed."""
-    return F.when(F.exists(roots, lambda r: (F.lit(new) == r) | F.lit(new).startswith(F.concat(r, F.lit("/")))), roots).otherwise(F.array_append(F.filter(roots, lambda r: ~subtree(r, new)), F.lit(new)))
+    own = F.lit(new) if isinstance(new, str) else new
+    return F.when(F.exists(roots, lambda r: subtree(own, r)), roots).otherwise(F.array_append(F.filter(roots, lambda r: ~subtree(r, own)), own))
 
 
 def remove_root(roots: Column, prefix: str) -> Column:
@@ -127,3 +130,14 @@ def parse_ref(ref: Column) -> Column:
 
 def chunk_range(chunks: DataFrame, path: str, first: int, last: int) -> DataFrame:
     return chunks.filter((F.col("path") == path) & F.col("seq").between(first, last)).orderBy("seq")
+
+
+def spans(chunks: DataFrame, key: str = "path", seq: str = "seq") -> DataFrame:
+    """key, first_seq, last_seq of each file's chunks."""
+    return chunks.groupBy(key).agg(F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"))
+
+
+def around(chunks: DataFrame, hits: DataFrame, before: int, after: int, key: str = "path", seq: str = "seq") -> DataFrame:
+    """For each hit (key, seq): the chunks from `before` ahead of it to `after` behind it that exist, their number in near."""
+    wanted = hits.select(key, seq, F.explode(F.sequence(F.col(seq) - before, F.col(seq) + after)).alias("near"))
+    return wanted.join(chunks.withColumnRenamed(seq, "near"), [key, "near"])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ancestors
+from .filters import subtree
 
 
 def decide(db_hash: Column, db_mtime: Column, db_size: Column, mtime: Column, size: Column, hash_: Column | None = None, backfill: bool = False) -> Column:
@@ -69,3 +70,13 @@ def touch(files: DataFrame, touched: DataFrame) -> DataFrame:
 def prune(files: DataFrame, scan: DataFrame, under: Column) -> DataFrame:
     """Indexed files under a root that are no longer on disk."""
     return files.filter(under).join(scan.select("path"), "path", "left_anti")
+
+
+def without(rows: DataFrame, paths: list[str]) -> DataFrame:
+    """rows whose path is neither one of these nor below one."""
+    return rows.filter(~reduce(lambda a, b: a | b, (subtree(F.col("path"), p) for p in paths), F.lit(False)))
+
+
+def totals(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row: files and chunks, counted apart."""
+    return files.agg(F.count("*").alias("files")).crossJoin(F.broadcast(chunks.agg(F.count("*").alias("chunks"))))  # a row each

@@ -1,7 +1,7 @@
 """BM25 over token arrays or over postings.
 
-scan(): one pass over documents that hold their token arrays; occurrences are counted inside each row, so nothing is
-shuffled but a one-row sum of statistics and the top k. search(): the same scores from postings sorted by term, which
+scan(): one pass over documents that hold their token arrays; occurrences are counted inside each row, the corpus
+statistics are observed as rows pass, and only the matching rows' ids and counts are stored to be scored. search(): the same scores from postings sorted by term, which
 read only the matching terms. Both give a phrase f = sum over columns of weight * occurrences,
 idf = ln((N - n + .5) / (n + .5)), 1e-6 if not positive, and
 score = sum over phrases of idf * f * 2.2 / (f + 1.2 * (.25 + .75 * |D| / avgdl)), |D| over all columns.
@@ -11,9 +11,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .parsing import Phrase
 
 K1, B = 1.2, 0.75
@@ -21,7 +22,7 @@ WEIGHTS = {"body": 1.0, "path": 0.4, "ids": 0.8}
 
 
 def occurrences(tokens: Column, phrase: Phrase) -> Column:
-    """How often a phrase stands in an array of tokens."""
+    """How often a phrase stands in an array of tokens; tokens must be a column or variable, not an expression to repeat."""
     first, rest = phrase.terms[0], phrase.terms[1:]
     if phrase.prefix:
         return F.size(F.filter(tokens, lambda x: x.startswith(first)))
@@ -43,22 +44,44 @@ def _score(f: Column, idf_: Column, dl: Column, avgdl: Column) -> Column:
     return idf_ * (f * (K1 + 1)) / (f + K1 * (1 - B + B * dl / avgdl))
 
 
+def frequencies(docs: DataFrame, phrases: list[Phrase], weights: dict[str, float], keep: list[str]) -> DataFrame:
+    """keep columns, __dl (tokens in all arrays) and __f0, __f1, ... (weighted occurrences of each phrase) of every row.
+
+    The arrays are bound once for each row, as one element of an array that is exploded: neither the counts nor a filter
+    on them can be moved below it by the optimizer, which would make the tokens anew for each use.
+    """
+    arrays = F.struct(*(F.col(c).alias(f"a{i}") for i, c in enumerate(weights)))
+
+    def counted(x: Column) -> Column:
+        own = [x.getField(f"a{i}") for i in range(len(weights))]
+        f = [reduce(lambda a, b: a + b, (F.lit(w) * occurrences(t, p) for t, w in zip(own, weights.values(), strict=True))).alias(f"__f{i}") for i, p in enumerate(phrases)]
+        return F.struct(reduce(lambda a, b: a + b, map(F.size, own)).alias("__dl"), *f)
+
+    return docs.select(*keep, F.inline(F.transform(F.array(arrays), counted)))
+
+
 def scan(docs: DataFrame, phrases: list[Phrase], weights: dict[str, float], keep: list[str]) -> DataFrame:
     """keep columns and score of the rows of docs (with the token arrays that weights names) that match every phrase."""
-    dl = reduce(lambda a, b: a + b, (F.size(c) for c in weights))
-    freqs = [reduce(lambda a, b: a + b, (F.lit(w) * occurrences(F.col(c), p) for c, w in weights.items())).alias(f"__f{i}") for i, p in enumerate(phrases)]
-    rows = docs.select(*keep, dl.alias("__dl"), *freqs)
     if not phrases:
-        return rows.limit(0).select(*keep, F.lit(0.0).alias("score"))
-    stats = rows.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *(F.count_if(F.col(f"__f{i}") > 0).alias(f"__df{i}") for i in range(len(phrases))))
-    hits = rows.filter(reduce(lambda a, b: a & b, (F.col(f"__f{i}") > 0 for i in range(len(phrases)))))
-    score = reduce(lambda a, b: a + b, (_score(F.col(f"__f{i}"), idf(F.col("__n"), F.col(f"__df{i}")), F.col("__dl"), F.col("__avg")) for i in range(len(phrases))))
-    return hits.crossJoin(F.broadcast(stats)).select(*keep, score.alias("score"))  # stats is one row
+        return docs.limit(0).select(*keep, F.lit(0.0).alias("score"))
+    rows, stats, n = frequencies(docs, phrases, weights, keep), Observation(), range(len(phrases))
+    seen = rows.observe(stats, F.count(F.lit(1)).alias("n"), F.avg("__dl").alias("avg"), *(F.count_if(F.col(f"__f{i}") > 0).alias(f"df{i}") for i in n))
+    hits = cut(seen.filter(reduce(lambda a, b: a & b, (F.col(f"__f{i}") > 0 for i in n))))
+    of = stats.get
+    score = reduce(lambda a, b: a + b, (_score(F.col(f"__f{i}"), idf(F.lit(float(of["n"])), F.lit(float(of[f"df{i}"]))), F.col("__dl"), F.lit(of["avg"])) for i in n))
+    return hits.select(*keep, score.alias("score"))
+
 
+def postings(docs: DataFrame, key: str, columns: dict[str, str], phrases: list[Phrase] | None = None) -> DataFrame:
+    """term, col, key, positions: one row for each term in each token array; columns: name of the posting column by array.
 
-def postings(docs: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
-    """term, col, key, positions: one row for each term in each token array; columns: name of the posting column by array."""
+    phrases: only terms that these need, filtered before anything is grouped.
+    """
     parts = [docs.select(key, F.lit(name).alias("col"), F.posexplode(array).alias("pos", "term")) for array, name in columns.items()]
+    if phrases is not None:
+        whole = sorted({t for p in phrases if not p.prefix for t in p.terms})
+        wanted = reduce(lambda a, b: a | b, (F.col("term").startswith(p.terms[0]) for p in phrases if p.prefix), F.col("term").isin(whole))
+        parts = [p.filter(wanted) for p in parts]
     return reduce(DataFrame.unionByName, parts).groupBy("term", "col", key).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def trim_lines(text: Column) -> Column:
 def match_position(query: str):
     """A column function: where the first word that the query matches begins, or null."""
     import regex
-    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.functions import arrow_udf
 
     from ..functions.stemming import stem
     from ..functions.text import py_fold
@@ -71,16 +72,18 @@ def match_position(query: str):
             exact.add(stem(w))
     starts = tuple(prefixes)
 
-    @pandas_udf("int")
-    def position(texts):
-        def first(t):
-            for m in regex.finditer(r"[\p{L}\p{Nd}]+", t or ""):
-                w = py_fold(m[0])
-                if stem(w) in exact or (starts and w.startswith(starts)):
-                    return m.start()
-            return None
+    @arrow_udf("int")
+    def position(texts: pa.Array) -> pa.Array:
+        known: dict[str, bool] = {}  # of the words of this batch
 
-        return texts.map(first).astype("Int32")
+        def matches(word: str) -> bool:
+            if word not in known:
+                w = py_fold(word)
+                known[word] = stem(w) in exact or bool(starts) and w.startswith(starts)
+            return known[word]
+
+        words = regex.compile(r"[\p{L}\p{Nd}]+")
+        return pa.array([next((m.start() for m in words.finditer(t or "") if matches(m[0])), None) for t in texts.to_pylist()], pa.int32())
 
     return position
 

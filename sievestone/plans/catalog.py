@@ -8,15 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunking, filters, fusion, incremental, knn, lexical, postprocess
 from ..operators.parsing import parse_query
-from ..session import ship
-from ..sources.embed import embed, letter_histogram
+from ..operators.vector_table import VectorTable
+from ..session import ship, spread
+from ..sources.decode import decode
+from ..sources.embed import embed, hashed_trigrams
 from ..sources.formats import html_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +36,9 @@ def query(name: str, sql: str | None = None):
 
     return add
 
+def _texts(t) -> DataFrame:
+    """documents over all cores, for queries that work on their texts."""
+    return spread(t("documents"))
 
 
 def _path():
@@ -45,12 +52,12 @@ TOKENS_SQL = r"regexp_extract_all(replace(lower({}), 'ё', 'е'), '[\p{{L}}\p{{N
 # Tokens and lexical retrieval -------------------------------------------------------------------------------------
 @query("tokenize_count", f"select doc_id, len({TOKENS_SQL.format('text')}) as n_tokens from documents")
 def _(t):
-    return t("documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("bigint").alias("n_tokens"))
+    return _texts(t).select("doc_id", F.size(T.tokens(F.col("text"))).cast("bigint").alias("n_tokens"))
 
 
 @query("vocab_df", f"select term, count(*) as df, sum(n)::bigint as cf from (select doc_id, term, count(*) as n from (select doc_id, unnest({TOKENS_SQL.format('text')}) as term from documents) group by all) group by term")
 def _(t):
-    terms = t("documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
+    terms = _texts(t).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
     return terms.groupBy("doc_id", "term").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
 
 
@@ -85,7 +92,7 @@ BODY = {"body": (TOKENS_SQL.format("text"), 1.0)}
 for _name, _text in {"bm25_term": "that", "bm25_and": "that with", "bm25_dup_term": "that that", "bm25_prefix": "thes*", "bm25_phrase": '"of the"', "bm25_mixed": '"to the" thes* by'}.items():
 
     def _bm25(t, text=_text):
-        docs = t("documents").select("doc_id", T.tokens(F.col("text")).alias("body"))
+        docs = _texts(t).select("doc_id", T.tokens(F.col("text")).alias("body"))
         return _top(lexical.scan(docs, parse_query(text, stemmed=False), {"body": 1.0}, ["doc_id"]))
 
     query(_name, bm25_sql(_text, BODY))(_bm25)
@@ -104,22 +111,23 @@ def _(t):
     bm25_sql("src3 that", {"body": (TOKENS_SQL.format("text"), 1.0), "path": (TOKENS_SQL.format("p"), 0.4)}, f"(select doc_id, text, {PATH_SQL} as p from documents)"),
 )
 def _(t):
-    docs = t("documents").select("doc_id", T.tokens(F.col("text")).alias("body"), T.tokens(_path()).alias("path"))
+    docs = _texts(t).select("doc_id", T.tokens(F.col("text")).alias("body"), T.tokens(_path()).alias("path"))
     return _top(lexical.scan(docs, parse_query("src3 that", stemmed=False), {"body": 1.0, "path": 0.4}, ["doc_id"]))
 
 
 @query("bm25_postings", bm25_sql('"of the" that', BODY))
 def _(t):
-    docs = t("documents").select("doc_id", T.tokens(F.col("text")).alias("body"))
-    posts = lexical.postings(docs, "doc_id", {"body": "body"})
+    docs = _texts(t).select("doc_id", T.tokens(F.col("text")).alias("body"))
+    wanted = parse_query('"of the" that', stemmed=False)
+    posts = lexical.postings(docs, "doc_id", {"body": "body"}, wanted)
     lengths = docs.select("doc_id", F.size("body").cast("bigint").alias("dl"))
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return _top(lexical.search(posts, lengths, corpus, parse_query('"of the" that', stemmed=False), "doc_id", {"body": 1.0}))
+    return _top(lexical.search(posts, lengths, corpus, wanted, "doc_id", {"body": 1.0}))
 
 
 @query("stemmed_search")
 def _(t):
-    docs = t("documents").select("doc_id", T.stems(T.tokens(F.col("text"))).alias("body"), T.stems(T.tokens(_path())).alias("path"), T.stems(T.idents(F.col("text"))).alias("ids"))
+    docs = _texts(t).select("doc_id", T.stems(T.tokens(F.col("text"))).alias("body"), T.stems(T.tokens(_path())).alias("path"), T.stems(T.idents(F.col("text"))).alias("ids"))
     return _top(lexical.scan(docs, parse_query("thing with"), lexical.WEIGHTS, ["doc_id"]))
 
 
@@ -160,25 +168,31 @@ def _(t):
 
 
 _PAIR = "(select vec_id, embedding as a, list_reverse(embedding) as b from embeddings)"
-_SUM = "round(list_sum(list_transform({}, lambda x: x::double)), 6)"
 for _name, _op, _sql in (
     ("vec_add", V.add, "list_transform(list_zip(a, b), lambda x: x[1] + x[2])"),
-    ("vec_sub", lambda a, b: V.sub(V.slice_(a, 0, 32), V.slice_(b, 0, 32)), "list_transform(list_zip(a[1:32], b[1:32]), lambda x: x[1] - x[2])"),
+    ("vec_sub", V.sub, "list_transform(list_zip(a, b), lambda x: x[1] - x[2])"),
     ("vec_slice", lambda a, b: V.slice_(a, 3, 20), "a[4:20]"),
-    ("vec_normalize", lambda a, b: V.normalize(V.slice_(a, 0, 16)), "list_transform(a[1:16], lambda x: (x::double / sqrt(list_sum(list_transform(a[1:16], lambda y: y::double * y::double))))::float)"),
+    ("vec_normalize", lambda a, b: V.normalize(a), "list_transform(a, lambda x: (x::double / sqrt(list_sum(list_transform(a, lambda y: y::double * y::double))))::float)"),
     ("quantize_int8", lambda a, b: V.quantize_int8(a), "list_transform(a, lambda x: trunc((x + 1::float) / (2.0/255)::float - 128::float))"),
 ):
 
     def _vec(t, op=_op):
         v = op(F.col("embedding"), F.reverse("embedding"))
-        return t("embeddings").select("vec_id", F.size(v).cast("bigint").alias("dim"), F.round(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double")), 6).alias("total"))
+        rows = V.each(t("embeddings").select("vec_id", v.alias("v")), "v", "vec_id")
+        return rows.select("vec_id", F.col("i").cast("bigint").alias("i"), (F.round(F.col("value").cast("double"), 6) + 0.0).alias("value"))
 
-    query(_name, f"select vec_id, len(v) as dim, {_SUM.format('v')} as total from (select vec_id, {_sql} as v from {_PAIR})")(_vec)
+    query(_name, f"select vec_id, generate_subscripts(v, 1) - 1 as i, round(unnest(v)::double, 6) + 0.0 as value from (select vec_id, {_sql} as v from {_PAIR})")(_vec)
 
 
-@query("vec_to_json", "select vec_id, concat('[', array_to_string(list_transform(embedding[1:4], lambda x: printf('%.6f', x::double)), ','), ']') as json from embeddings")
+@query("vec_to_json", "select vec_id, concat('[', array_to_string(list_transform(embedding, lambda x: printf('%.6f', x::double)), ','), ']') as json from embeddings")
 def _(t):
-    return t("embeddings").select("vec_id", V.to_json(F.slice("embedding", 1, 4)).alias("json"))
+    return t("embeddings").select("vec_id", V.to_json(F.col("embedding")).alias("json"))
+
+
+@query("vec_blob", "select vec_id, generate_subscripts(embedding, 1) - 1 as i, embedding[1]::double as first, round(unnest(embedding)::double, 6) as value from embeddings")
+def _(t):
+    back = t("embeddings").select("vec_id", V.from_blob(V.to_blob(F.col("embedding"))).alias("v"))
+    return V.each(back.withColumn("first", F.get("v", F.lit(0)).cast("double")), "v", "vec_id", "first").select("vec_id", F.col("i").cast("bigint").alias("i"), "first", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
 @query("vec_each", "select vec_id, generate_subscripts(embedding, 1) - 1 as i, round(unnest(embedding)::double, 6) as value from embeddings")
@@ -199,6 +213,32 @@ def _(t):
     return t("embeddings").select("vec_id", V.distance_hamming(V.quantize_binary(F.col("embedding")), V.quantize_binary(F.reverse("embedding"))).cast("bigint").alias("distance"))
 
 
+_TABLE = "vec_id integer primary key, embedding float[{}] distance_metric=cosine, label integer, +note text"
+
+
+def _vector_table(t) -> VectorTable:
+    e = t("embeddings")
+    rows = e.select("vec_id", "embedding", "label", F.concat(F.lit("n"), F.col("vec_id").cast("string")).alias("note"))
+    return VectorTable(e.sparkSession, _TABLE.format(len(_first(t)))).insert(rows)
+
+
+@query("vec_table_knn", f"select vec_id, note, round({_D['cosine']}, 6) + 0.0 as distance from (select vec_id, concat('n', vec_id) as note, embedding as a, (select embedding from embeddings order by vec_id limit 1) as b from embeddings where label >= 2 and label <> 3 and vec_id < 150) order by distance, vec_id limit 10")
+def _(t):
+    near = _vector_table(t).knn("embedding", _first(t), 50, (F.col("label") >= 2) & (F.col("label") != 3), keys=list(range(150)))
+    return near.select("vec_id", "note", (F.round("distance", 6) + 0.0).alias("distance")).orderBy("distance", "vec_id").limit(10)
+
+
+@query("vec_table_changes", "select vec_id, case when label = 1 then 'seen' else concat('n', vec_id) end as note, label, case when label = 1 then len(embedding) else len(embedding) end as dim from embeddings where label <> 0")
+def _(t):
+    table = _vector_table(t).delete(F.col("label") == 0).update(F.col("label") == 1, note=F.lit("seen"))
+    return table.scan().select("vec_id", "note", F.col("label").cast("bigint").alias("label"), F.size("embedding").cast("bigint").alias("dim"))
+
+
+@query("vec_table_point", "select vec_id, concat('n', vec_id) as note from embeddings where vec_id = 7")
+def _(t):
+    return _vector_table(t).point(7).select("vec_id", "note")
+
+
 # Fusion and post-processing ---------------------------------------------------------------------------------------
 @query(
     "rrf_hybrid",
@@ -207,7 +247,7 @@ def _(t):
     "select doc_id, round(sum(1.0 / (60 + r)), 9) as score from (select * from l union all select * from v) group by doc_id order by score desc, doc_id limit 20",
 )
 def _(t):
-    docs = t("documents").select("doc_id", T.tokens(F.col("text")).alias("body"))
+    docs = _texts(t).select("doc_id", T.tokens(F.col("text")).alias("body"))
     a = _top(lexical.scan(docs, parse_query("that with", stemmed=False), {"body": 1.0}, ["doc_id"]), 100)
     b = _near(knn.knn(t("embeddings"), _first(t), 200), 100).withColumnRenamed("vec_id", "doc_id")
     lists = [fusion.ranked(a, [F.desc("score"), "doc_id"]).select("doc_id", "rank"), fusion.ranked(b, ["distance", "doc_id"]).select("doc_id", "rank")]
@@ -220,21 +260,36 @@ def _(t):
     return postprocess.max_per_key(t("documents").select("source", "doc_id", "n_chars"), "source", 3, F.desc("n_chars"), "doc_id")
 
 
+_LINES_SQL = "case when turn % 4 = 3 then 0 else turn * 10 + 1 end as la, case when turn % 4 = 3 then 0 else turn * 10 + 1 + length(text) % 25 end as lb"
+
+
 @query(
     "dedupe_overlap",
-    "with p as (select conv_id, turn, row_number() over (order by length(text) desc, conv_id, turn) as rank from conversations qualify rank <= 200), "
-    "g as (select conv_id, list([turn] order by rank) as ts from p group by conv_id) "
-    "select conv_id, unnest(list_reduce(ts, lambda acc, x: case when len(list_filter(acc, lambda y: abs(y - x[1]) <= 1)) > 0 then acc else list_concat(acc, x) end)) as turn from g",
+    f"with p as (select conv_id, turn, {_LINES_SQL}, row_number() over (order by length(text) desc, conv_id, turn) as rank from conversations qualify rank <= 200), "
+    "g as (select conv_id, list([{'t': turn, 'a': la, 'b': lb}] order by rank) as ts from p group by conv_id) "
+    "select conv_id, unnest(list_reduce(ts, lambda acc, x: case when len(list_filter(acc, lambda y: case when y.a > 0 and x[1].a > 0 then y.a <= x[1].b and x[1].a <= y.b else abs(y.t - x[1].t) <= 1 end)) > 0 then acc else list_concat(acc, x) end)).t as turn from g",
 )
 def _(t):
-    pool = lexical.top(t("conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("seq"), F.char_length("text").alias("score")), 200, "path", "seq")
-    hits = fusion.ranked(pool, [F.desc("score"), "path", "seq"]).withColumn("line_start", F.lit(0)).withColumn("line_end", F.lit(0))
+    first = F.when(F.col("turn") % 4 == 3, 0).otherwise(F.col("turn") * 10 + 1)
+    rows = t("conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("seq"), F.char_length("text").alias("score"), first.alias("line_start"))
+    rows = rows.withColumn("line_end", F.when(F.col("line_start") == 0, 0).otherwise(F.col("line_start") + F.col("score") % 25))
+    hits = fusion.ranked(lexical.top(rows, 200, "path", "seq"), [F.desc("score"), "path", "seq"])
     return postprocess.dedupe(hits).select(F.col("path").alias("conv_id"), F.col("seq").alias("turn"))
 
 
+@query(
+    "shape",
+    "select conv_id::varchar as path, turn as seq, concat(conv_id, '#', turn) as ref, row_number() over (order by length(text) desc, conv_id, turn) as rank, 'text' as source_type, 'bm25' as score_kind from conversations qualify rank <= 50",
+)
+def _(t):
+    rows = t("conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("seq"), F.char_length("text").alias("score"), "conv_id")
+    hits = fusion.ranked(lexical.top(rows, 50, "conv_id", "seq"), [F.desc("score"), "conv_id", "seq"])
+    return postprocess.shape(hits, "bm25").select("path", F.col("seq").cast("bigint").alias("seq"), "ref", F.col("rank").cast("bigint").alias("rank"), "source_type", "score_kind")
+
+
 @query("pool_filter", f"with p as ({bm25_sql('that with', BODY, k=100)}) select p.doc_id, score from p join documents d using (doc_id) where lang = 'en' and source in ('src1', 'src2', 'src3') order by score desc, doc_id limit 10")
 def _(t):
-    docs = t("documents").select("doc_id", _path().alias("path"), T.tokens(F.col("text")).alias("body"))
+    docs = _texts(t).select("doc_id", _path().alias("path"), T.tokens(F.col("text")).alias("body"))
     pool = _top(lexical.scan(docs, parse_query("that with", stemmed=False), {"body": 1.0}, ["doc_id", "path"]), fusion.pool_size(10, True))
     keep = filters.result_filter(F.col("path"), include=["/src{1,2,3}/en/*.md"])
     return pool.filter(keep).orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", "score")
@@ -247,9 +302,19 @@ def _(t):
     return got.select(F.col("path").alias("source"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("snippet")
+_CLEAN_SQL = r"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t]+(\n|$)', '\1', 'g'), '^\n+', ''), '\n+$', '')"
+_AT_SQL = r"case when regexp_matches(c, '(?s)(^|[^\p{L}\p{Nd}])(thes|wha)') then length(regexp_extract(c, '(?s)^((?:.*?[^\p{L}\p{Nd}])??)(?:thes|wha)', 1)) end"
+
+
+@query(
+    "snippet",
+    f"with a as (select doc_id, text, {_CLEAN_SQL} as clean, replace(lower(clean), 'ё', 'е') as c from documents), b as (select doc_id, text, clean, length(clean) as n, {_AT_SQL} as pos from a), "
+    "d as (select *, greatest(0, least(pos - 26, n - 80)) as s from b), "
+    "e as (select doc_id, text, case when n <= 80 then clean when pos is null then concat(substr(clean, 1, 80), '...') else concat(case when s > 0 then '...' else '' end, substr(clean, s + 1, 80), case when s + 80 < n then '...' else '' end) end as short from d) "
+    "select doc_id, short as text, short <> text as truncated from e",
+)
 def _(t):
-    return postprocess.snippets(t("documents").select("doc_id", "text"), "thing with", 80)
+    return postprocess.snippets(_texts(t).select("doc_id", "text"), "thes* wha*", 80)
 
 
 # Paths ------------------------------------------------------------------------------------------------------------
@@ -283,8 +348,7 @@ def _(t):
 def _(t):
     roots = F.array(F.lit("/src1"), F.lit("/src2"), F.lit("/x/y"))
     rows = t("documents").select("source").distinct()
-    own = F.concat(F.lit("/"), "source")
-    a = F.when(F.exists(roots, lambda r: (own == r) | own.startswith(F.concat(r, F.lit("/")))), roots).otherwise(F.array_append(roots, own))
+    a = filters.add_root(roots, F.concat(F.lit("/"), "source"))
     return rows.select("source", F.array_join(a, ",").alias("a"), F.array_join(filters.add_root(roots, "/x"), ",").alias("b"))
 
 
@@ -326,20 +390,23 @@ def _(t):
 
 @query("seq_minmax", "select conv_id, min(turn) as first_seq, max(turn) as last_seq from conversations group by conv_id")
 def _(t):
-    return t("conversations").groupBy("conv_id").agg(F.min("turn").alias("first_seq"), F.max("turn").alias("last_seq"))
+    return filters.spans(t("conversations"), "conv_id", "turn")
 
 
 @query("neighbours", "select a.conv_id, a.turn, b.turn as near, b.role from conversations a join conversations b on a.conv_id = b.conv_id and b.turn between a.turn - 1 and a.turn + 2 where length(a.text) > 200")
 def _(t):
     c = t("conversations")
-    a = c.filter(F.char_length("text") > 200).select("conv_id", "turn", F.explode(F.sequence(F.col("turn") - 1, F.col("turn") + 2)).alias("near"))
-    return a.join(c.select("conv_id", F.col("turn").alias("near"), "role"), ["conv_id", "near"]).select("conv_id", "turn", "near", "role")
+    return filters.around(c, c.filter(F.char_length("text") > 200), 1, 2, "conv_id", "turn").select("conv_id", "turn", "near", "role")
 
 
-@query("chunk_overlap_prev", "select conv_id, turn, coalesce(right(lag(text) over (partition by conv_id order by turn), 20), '') as tail from conversations")
+@query(
+    "chunk_overlap_prev",
+    r"with p as (select conv_id, turn, coalesce(lag(text) over (partition by conv_id order by turn), '') as t from conversations), o as (select *, right(t, 40) as o from p), "
+    r"g as (select *, length(regexp_extract(o, '^([^ \t\n]*)[ \t\n]', 1)) as k, regexp_matches(o, '[ \t\n]') as gap from o) "
+    r"select conv_id, turn, trim(case when length(t) > 40 and gap and k > 0 and strlen(substr(o, 1, k)) < strlen(o) // 2 then substr(o, k + 2) when length(t) > 40 then o else t end, ' ' || chr(9) || chr(10) || chr(13)) as overlap from g",
+)
 def _(t):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return t("conversations").select("conv_id", "turn", F.coalesce(F.right(F.lag("text").over(w), F.lit(20)), F.lit("")).alias("tail"))
+    return chunking.overlap_before(t("conversations"), "conv_id", "turn", 40).select("conv_id", "turn", "overlap")
 
 
 # Incremental ------------------------------------------------------------------------------------------------------
@@ -359,30 +426,62 @@ def _disk(t) -> tuple[DataFrame, DataFrame]:
     return disk.drop("doc_id"), rows.filter("doc_id % 9 <> 0").drop("doc_id")
 
 
+_EXCLUDED = [("/src1", "hidden"), ("/src1/en", "vendor")]
 _CHECK_SQL = (
     f"with d as (select {PATH_SQL} as path, n_chars + (doc_id % 5 = 0)::int as m from documents where doc_id % 7 <> 0), i as (select {PATH_SQL} as path, n_chars as m from documents where doc_id % 9 <> 0) "
-    "select path, case when i.m is null then 'unindexed' when d.m is null and starts_with(path, '/src1/en/') then 'excluded' when d.m is null then 'missing' when d.m <> i.m then 'changed' else 'current' end as status from d full join i using (path)"
+    "select path, case when i.m is null then 'unindexed' when d.m is null and starts_with(path, '/src1/') then 'excluded' when d.m is null then 'missing' when d.m <> i.m then 'changed' else 'current' end as status, "
+    "case when i.m is null or d.m is not null then null when starts_with(path, '/src1/en/') then 'vendor' when starts_with(path, '/src1/') then 'hidden' end as reason from d full join i using (path)"
+)
+
+
+@query("decide_backfill", f"select doc_id, case when ih is null then 'reindex' when im = m and isz = s then 'reindex' when ih = h then 'reindex' else 'reindex' end as todo from ({_STATE_SQL})")
+def _(t):
+    i, n = F.col("doc_id"), F.col("n_chars")
+    old = F.when(i % 11 != 0, "h")
+    return t("documents").select("doc_id", incremental.decide(old, n, n, n + (i % 5 == 0).cast("int"), n, F.when(i % 10 == 0, "g").otherwise("h"), backfill=True).alias("todo"))
+
+
+@query(
+    "check_by_hash",
+    f"with d as (select {PATH_SQL} as path, n_chars + (doc_id % 5 = 0)::int as m, doc_id % 3 as h from documents where doc_id % 7 <> 0), i as (select {PATH_SQL} as path, n_chars as m, case when doc_id % 2 = 0 then doc_id % 3 else 9 end as h from documents where doc_id % 9 <> 0) "
+    "select path, case when i.m is null then 'unindexed' when d.m is null then 'missing' when d.m <> i.m and d.h <> i.h then 'changed' else 'current' end as status from d full join i using (path)",
 )
+def _(t):
+    rows = t("documents").select("doc_id", _path().alias("path"), F.col("n_chars").alias("mtime"), F.col("n_chars").alias("size"))
+    disk = rows.filter("doc_id % 7 <> 0").withColumn("mtime", F.col("mtime") + (F.col("doc_id") % 5 == 0).cast("int")).withColumn("hash", (F.col("doc_id") % 3).cast("string"))
+    files = rows.filter("doc_id % 9 <> 0").withColumn("hash", F.when(F.col("doc_id") % 2 == 0, (F.col("doc_id") % 3).cast("string")).otherwise("9"))
+    return incremental.compare(disk, files, by_hash=True).select("path", "status")
+
+
+@query("delete_subtree", f"select {PATH_SQL} as path from documents where doc_id % 9 <> 0 and not starts_with({PATH_SQL}, '/src1/') and {PATH_SQL} <> '/src2/en/doc_2.md' and not starts_with({PATH_SQL}, '/src3/de/')")
+def _(t):
+    _, files = _disk(t)
+    return incremental.without(files, ["/src1", "/src2/en/doc_2.md", "/src3/de/"]).select("path")
+
+
+@query("index_counts", f"select count(*) as files, sum(n) as chunks from (select source, count(*) as n from documents group by source)")
+def _(t):
+    return incremental.totals(t("documents").select(F.col("source").alias("path")).distinct(), t("documents").select(F.col("source").alias("path")))
 
 
 @query("check_status", _CHECK_SQL)
 def _(t):
     disk, files = _disk(t)
-    excluded = t("documents").sparkSession.createDataFrame([("/src1/en", "vendor")], "path string, reason string")
-    return incremental.compare(disk, files, excluded).select("path", "status")
+    excluded = t("documents").sparkSession.createDataFrame(_EXCLUDED, "path string, reason string")
+    return incremental.compare(disk, files, excluded).select("path", "status", "reason")
 
 
-@query("check_list", f"with c as ({_CHECK_SQL}) select path, status from c where status <> 'current' order by case status when 'changed' then 0 when 'missing' then 1 when 'excluded' then 2 else 3 end, path limit 50")
+@query("check_list", f"with c as ({_CHECK_SQL}) select path, status, reason from c where status <> 'current' order by case status when 'changed' then 0 when 'missing' then 1 when 'excluded' then 2 else 3 end, path limit 50")
 def _(t):
     disk, files = _disk(t)
-    excluded = t("documents").sparkSession.createDataFrame([("/src1/en", "vendor")], "path string, reason string")
-    return incremental.check_list(incremental.compare(disk, files, excluded), 50).select("path", "status")
+    excluded = t("documents").sparkSession.createDataFrame(_EXCLUDED, "path string, reason string")
+    return incremental.check_list(incremental.compare(disk, files, excluded), 50).select("path", "status", "reason")
 
 
 @query("check_counts", f"with c as ({_CHECK_SQL}) select array_to_string(list(concat(status, '=', n) order by status), ',') as by_code from (select status, count(*) as n from c group by status)")
 def _(t):
     disk, files = _disk(t)
-    excluded = t("documents").sparkSession.createDataFrame([("/src1/en", "vendor")], "path string, reason string")
+    excluded = t("documents").sparkSession.createDataFrame(_EXCLUDED, "path string, reason string")
     got = incremental.counts_by(incremental.compare(disk, files, excluded), "status")
     return got.select(F.array_join(F.transform(F.map_entries("by_code"), lambda e: F.concat(e.getField("key"), F.lit("="), e.getField("value").cast("string"))), ",").alias("by_code"))
 
@@ -408,41 +507,65 @@ def _(t):
 # Text functions, chunks, extraction -------------------------------------------------------------------------------
 @query(
     "fnv1a64",
-    "select item_id, printf('%x', list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(range(0, strlen(text)), lambda i: ((instr('0123456789ABCDEF', substr(hex(text), 2 * i + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(hex(text), 2 * i + 2, 1)) - 1)::hugeint)), "
-    "lambda h, b: (xor(h, b) * 435) % 18446744073709551616 + (((xor(h, b) % 16777216) * 1099511627776) % 18446744073709551616) - case when (xor(h, b) * 435) % 18446744073709551616 + ((xor(h, b) % 16777216) * 1099511627776) % 18446744073709551616 >= 18446744073709551616 then 18446744073709551616 else 0 end)::ubigint) as hash from benchmark",
+    "with d as (select doc_id, hex(encode(text)) as x from documents) select doc_id, printf('%x', list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(range(0, strlen(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::int::hugeint)), "
+    "lambda h, b: (xor(h, b) * 435 + (xor(h, b) % 16777216) * 1099511627776) % 18446744073709551616)::ubigint) as hash from d",
 )
 def _(t):
-    return t("benchmark").select("item_id", T.fnv1a64(F.col("text")).alias("hash"))
+    return _texts(t).select("doc_id", T.fnv1a64(F.col("text")).alias("hash"))
 
 
-@query("nfc")
+@query("nfc", "select doc_id, md5(nfc_normalize(text)) as normal from documents")
 def _(t):
-    return t("documents").select("doc_id", (T.nfc(F.col("text")) == F.col("text")).alias("normal"))
+    return _texts(t).select("doc_id", F.md5(T.nfc(F.col("text")).cast("binary")).alias("normal"))
+
+
+@query("decode_utf8", "select doc_id, 'utf-8' as encoding, md5(nfc_normalize(text)) as text from documents")
+def _(t):
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("struct<encoding: string, text: string>")
+    def decoded(raw: pa.Array) -> pa.Array:
+        got = [decode(x or b"") for x in raw.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([g and g[1] for g in got], pa.string()), pa.array([g and g[0] for g in got], pa.string())], ["encoding", "text"])
+
+    rows = _texts(t).select("doc_id", decoded(F.col("text").cast("binary")).alias("d"))
+    return rows.select("doc_id", "d.encoding", F.md5(F.col("d.text").cast("binary")).alias("text"))
 
 
 @query("chunk_documents")
 def _(t):
-    return chunking.chunks(t("documents").select(_path().alias("path"), "text"))
+    return chunking.chunks(_texts(t).select(_path().alias("path"), "text"))
 
 
 @query("chunk_invariants", "select count(*) as files, 0::bigint as too_long, 0::bigint as bad_lines from documents where length(trim(text, ' \t\r\n')) > 0")
 def _(t):
-    got = chunking.chunks(t("documents").select(_path().alias("path"), "text"))
+    got = chunking.chunks(_texts(t).select(_path().alias("path"), "text"))
     return got.agg(F.count_distinct("path").alias("files"), F.count_if(F.char_length("text") > chunking.SIZE + chunking.OVERLAP).alias("too_long"), F.count_if(F.col("line_end") < F.col("line_start")).alias("bad_lines"))
 
 
 @query("html_extract")
 def _(t):
-    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.functions import arrow_udf
 
-    text = pandas_udf(lambda s: s.map(lambda x: html_text(x or "")), "string")
-    return t("pages").select("page_id", text(F.col("html")).alias("text"))
+    @arrow_udf("string")
+    def extracted(pages: pa.Array) -> pa.Array:
+        known = pages.dictionary_encode()  # equal pages are parsed once
+        return pa.array([html_text(x or "") for x in known.dictionary.to_pylist()] + [html_text("")], pa.string()).take(pc.fill_null(known.indices, len(known.dictionary)))
 
+    return spread(t("pages")).select("page_id", extracted(F.col("html")).alias("text"))
 
-@query("embed_documents")
+
+@query(
+    "embed_documents",
+    "with c as (select doc_id, list_transform(string_split(lower(text), ''), lambda x: unicode(x)::bigint) as c from documents), "
+    "h as (select doc_id, unnest(list_transform(range(1, len(c) - 1), lambda i: (c[i] * 1018081 + c[i + 1] * 1009 + c[i + 2]) % 65521)) as h from c), "
+    "v as (select doc_id, h % 16 as i, sum(1 - 2 * ((h // 16) % 2))::double as x from h group by all), n as (select doc_id, sqrt(sum(x * x)) as n from v group by doc_id), "
+    "g as (select doc_id, unnest(range(0, 16)) as i from documents) "
+    "select g.doc_id, g.i, round(coalesce(case when n.n < 1e-12 then v.x else v.x / n.n end, 0)::float::double, 5) + 0.0 as value from g left join v using (doc_id, i) left join n using (doc_id)",
+)
 def _(t):
-    got = embed(t("documents").select("doc_id", "text"), letter_histogram, keys=("doc_id",))
-    return got.select("doc_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double")), 5).alias("total"))
+    got = embed(_texts(t).select("doc_id", "text"), hashed_trigrams, keys=("doc_id",))
+    return V.each(got, "embedding", "doc_id").select("doc_id", F.col("i").cast("bigint").alias("i"), (F.round(F.col("value").cast("double"), 5) + 0.0).alias("value"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

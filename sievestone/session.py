@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -47,6 +48,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it is read in fewer parts than there are: one row group of a small file is one task otherwise.
+
+    Large inputs have more parts than cores and stay as they are; nothing but the plan depends on this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder; its partitions stay as they are."""
     shared_dir(df.sparkSession)
@@ -57,3 +67,10 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str | S
     """mapInArrow whose workers can import this package; Spark bounds batches in rows and bytes (arrow.maxBytesPerBatch, 64 MB)."""
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
+
+
+def arrow_filesystem(uri: str):
+    """The Arrow file system and path of a URI (a bare path is a local one)."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if re.match(r"\w+:", uri) else f"file://{os.path.abspath(uri)}")

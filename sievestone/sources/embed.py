@@ -8,10 +8,11 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..session import map_arrow
+from ..session import arrow_filesystem, map_arrow
 
 BATCH = 32
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -48,16 +49,17 @@ class HttpEmbedder:
         return got
 
 
-def letter_histogram(texts: list[str], dim: int = 16) -> list[list[float]]:
-    """Counts of letters and digits by code point modulo dim; no model needed."""
+def hashed_trigrams(texts: list[str], dim: int = 16) -> list[list[float]]:
+    """Signed counts of the character trigrams of lower-case texts, for tests and demonstrations; no model needed.
+
+    A trigram's number is its code points in base 1009 modulo 65,521: its place is the number modulo dim, its sign
+    whether the number over dim is even. A text of fewer than three characters is the zero vector.
+    """
     out = []
     for t in texts:
-        v = [0.0] * dim
-        for c in t.lower():
-            if c.isalnum():
-                v[ord(c) % dim] += 1
-        v[0] += 1
-        out.append(v)
+        c = np.array([ord(x) for x in t.lower()], np.int64)
+        h = (c[:-2] * 1009 * 1009 + c[1:-1] * 1009 + c[2:]) % 65_521 if len(c) > 2 else np.empty(0, np.int64)
+        out.append(np.bincount(h % dim, 1.0 - 2.0 * (h // dim % 2), dim).tolist())
     return out
 
 
@@ -66,8 +68,11 @@ def unit(v: list[float]) -> list[float]:
     return v if n < 1e-12 else [x / n for x in v]
 
 
-def embed(chunks: DataFrame, embedder: Embedder, prefix: str = "", keys: tuple[str, ...] = ("path", "seq")) -> DataFrame:
-    """keys and embedding (unit length) of chunks with a text, in requests of BATCH texts; partitions run side by side."""
+def embed(chunks: DataFrame, embedder: Embedder, prefix: str = "", keys: tuple[str, ...] = ("path", "seq"), concurrency: int | None = None) -> DataFrame:
+    """keys and embedding (unit length) of chunks with a text, in requests of BATCH texts.
+
+    Partitions run side by side, a request at a time each; concurrency bounds how many partitions there are.
+    """
     kinds = ", ".join(f"{k} {chunks.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,15 +82,47 @@ def embed(chunks: DataFrame, embedder: Embedder, prefix: str = "", keys: tuple[s
                 out += map(unit, embedder(texts[k : k + BATCH]))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(out, pa.list_(pa.float32()))], [*keys, "embedding"])
 
-    return map_arrow(chunks.select(*keys, "text"), run, f"{kinds}, embedding array<float>")
+    rows = chunks.select(*keys, "text")
+    return map_arrow(rows if concurrency is None else rows.coalesce(max(1, concurrency)), run, f"{kinds}, embedding array<float>")
+
+
+def npy_header(raw: bytes) -> tuple[tuple[int, ...], str, int]:
+    """Shape, element type and where the elements start, of the first bytes of a .npy file."""
+    import ast
 
+    if raw[:6] != b"\x93NUMPY":
+        raise ValueError("no .npy data")
+    wide = raw[6] > 1
+    size = int.from_bytes(raw[8:12] if wide else raw[8:10], "little")
+    at = 12 if wide else 10
+    head = ast.literal_eval(raw[at : at + size].decode("latin-1"))
+    if head["fortran_order"] or head["descr"] != "<f4" or len(head["shape"]) != 2:
+        raise ValueError("a two-dimensional float32 array in C order is needed")
+    return head["shape"], head["descr"], at + size
 
-def read_npy(spark, path: str) -> DataFrame:
-    """vec_id, embedding of a two-dimensional float32 .npy file."""
-    import numpy as np
 
-    m = np.load(path, mmap_mode="r")
-    if m.ndim != 2 or m.dtype != np.float32:
-        raise ValueError("a two-dimensional float32 array is needed")
-    rows = ((i, row.tolist()) for i, row in enumerate(m))
-    return spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+def read_npy(spark, source: str | bytes, block: int = 1 << 16) -> DataFrame:
+    """vec_id, embedding of a two-dimensional float32 .npy file (a URI or path that executors can read) or of its bytes.
+
+    Of a file, executors read `block` rows at a time; only its header is read here.
+    """
+    if isinstance(source, bytes):
+        (n, dim), _, at = npy_header(source)
+        rows = np.frombuffer(source, "<f4", n * dim, at).reshape(n, dim)
+        return spark.createDataFrame(((i, row.tolist()) for i, row in enumerate(rows)), "vec_id bigint, embedding array<float>")
+    fs, path = arrow_filesystem(source)
+    with fs.open_input_file(path) as f:
+        (n, dim), _, at = npy_header(f.read(1 << 16))
+    blocks = -(-n // block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = arrow_filesystem(source)
+        with fs.open_input_file(path) as f:
+            for first in (b * block for batch in batches for b in batch.column("id").to_pylist()):
+                count = min(block, n - first)
+                f.seek(at + 4 * dim * first)
+                data = np.frombuffer(f.read(4 * dim * count), "<f4")
+                values = pa.ListArray.from_arrays(pa.array(np.arange(0, dim * count + 1, dim, dtype=np.int32)) if dim else pa.array(np.zeros(count + 1, np.int32)), pa.array(data))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + count)), values], ["vec_id", "embedding"])
+
+    return map_arrow(spark.range(0, blocks, 1, max(1, min(blocks, 10_000))), run, "vec_id bigint, embedding array<float>")

@@ -49,7 +49,7 @@ def test_pool(k, filtered, want):
     assert fusion.pool_size(k, filtered) == want
 
 
-@pytest.mark.parametrize("rows,want", [([("p", 0, 1, 20), ("p", 1, 10, 30), ("p", 2, 40, 60)], [1, 3]), ([("p", 0, 1, 20), ("q", 0, 1, 20)], [1, 2]), ([("p", 5, 0, 0), ("p", 6, 0, 0), ("p", 8, 0, 0)], [1, 3])])
+@pytest.mark.parametrize("rows,want", [([("p", 3, 50, 71), ("p", 9, 71, 90), ("p", 1, 5, 49), ("p", 2, 49, 49)], [1, 3]), ([("p", 4, 7, 9), ("r", 4, 7, 9)], [1, 2]), ([("p", 2, 0, 0), ("p", 4, 0, 0), ("p", 3, 0, 0), ("p", 1, 0, 0)], [1, 2]), ([("p", 2, 10, 12), ("p", 3, 0, 0)], [1])])
 def test_dedupe(spark, rows, want):
     df = spark.createDataFrame([(*r, i + 1) for i, r in enumerate(rows)], "path string, seq int, line_start int, line_end int, rank int")
     assert sorted(r["rank"] for r in postprocess.dedupe(df).collect()) == want
@@ -60,3 +60,31 @@ def test_snippet(spark):
     got = [r.text for r in postprocess.snippets(df, "search", 30).collect()]
     assert got[0].startswith("...") and "Searching" in got[0] and len(got[0]) == 36
     assert got[1] == "short" and got[2] == "z" * 30 + "..."
+
+
+def analysed(spark, text, stemmed=False):
+    docs = spark.createDataFrame([(i, f"one of the two of the {i}") for i in range(50)], "id int, t string").repartition(3)
+    words = T.tokens(F.col("t"))
+    return lexical.frequencies(docs.select("id", (T.stems(words) if stemmed else words).alias("body")), parse_query(text, stemmed), {"body": 1.0}, ["id"])
+
+
+@pytest.mark.parametrize("text", ['"of the"', "of the", "tw*", '"of the" two one*'])
+def test_a_text_is_tokenised_once(spark, text):
+    rows = analysed(spark, text).filter("__f0 > 0")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("Relation") + plan.count("LogicalRDD") + plan.count("LocalRelation") <= 1
+
+
+def test_statistics_and_hits_are_one_scan(spark):
+    docs = spark.range(100).select("id", F.split(F.concat_ws(" ", F.lit("a"), F.when(F.col("id") % 4 == 0, "b")), " ").alias("body"))
+    got = lexical.scan(docs, parse_query("a b", False), {"body": 1.0}, ["id"])
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "Range" not in plan and got.count() == 25  # what is left of the scan is the stored hits
+    assert lexical.scan(docs.filter("id < 0"), parse_query("a", False), {"body": 1.0}, ["id"]).count() == 0
+    assert lexical.scan(docs, parse_query("zz", False), {"body": 1.0}, ["id"]).count() == 0
+
+
+def test_postings_of_a_query(spark):
+    docs = spark.createDataFrame([(1, ["aa", "bb", "cc"]), (2, ["bb", "bbx", "aa"])], "id int, body array<string>")
+    got = {r.term for r in lexical.postings(docs, "id", {"body": "body"}, parse_query('"aa bb" bbx*', False)).collect()}
+    assert got == {"aa", "bb", "bbx"}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sievestone import cli
 from sievestone.operators.vector_table import VectorTable, declare
-from sievestone.sources.embed import EmbedError, HttpEmbedder, letter_histogram, read_npy
+from sievestone.sources.embed import EmbedError, HttpEmbedder, hashed_trigrams, read_npy
 
 
 @pytest.mark.parametrize("bad", ["x text", "v float[0]", "v bit[12]", "v bit[8] distance_metric=l1", "v float[4], chunk_size=12", "v float[9000]", "v float[4] distance_metric=dot", "v float[4], " + ", ".join(f"p{i} text partition key" for i in range(5)), "v float[4], k float primary key"])
@@ -44,7 +44,7 @@ def serve(answers):
             self.send_response(code)
             self.end_headers()
             if code == 200:
-                self.wfile.write(json.dumps({"embeddings": letter_histogram(body["input"])}).encode())
+                self.wfile.write(json.dumps({"embeddings": hashed_trigrams(body["input"])}).encode())
 
         def log_message(self, *args):
             pass
@@ -60,7 +60,7 @@ def test_embedding_client(answers, works):
     try:
         client = HttpEmbedder(url, "m", wait=0.0)
         if works:
-            assert client(["ab", "c"]) == letter_histogram(["ab", "c"])
+            assert client(["ab", "c"]) == hashed_trigrams(["ab", "c"])
         else:
             with pytest.raises(EmbedError):
                 client(["ab"])
@@ -71,8 +71,21 @@ def test_embedding_client(answers, works):
 def test_npy(spark, tmp_path):
     import numpy as np
 
-    np.save(tmp_path / "v.npy", np.arange(6, dtype=np.float32).reshape(3, 2))
-    assert [list(r.embedding) for r in read_npy(spark, str(tmp_path / "v.npy")).orderBy("vec_id").collect()] == [[0, 1], [2, 3], [4, 5]]
+    m = np.arange(46, dtype=np.float32).reshape(23, 2)
+    np.save(tmp_path / "v.npy", m)
+    for got in (read_npy(spark, str(tmp_path / "v.npy"), block=5), read_npy(spark, f"file://{tmp_path}/v.npy"), read_npy(spark, (tmp_path / "v.npy").read_bytes())):
+        rows = got.orderBy("vec_id").collect()
+        assert [r.vec_id for r in rows] == list(range(23)) and [list(r.embedding) for r in rows] == m.tolist()
+    np.save(tmp_path / "bad.npy", m.astype(np.float64))
+    with pytest.raises(ValueError):
+        read_npy(spark, str(tmp_path / "bad.npy"))
+    np.save(tmp_path / "none.npy", m[:0])
+    assert read_npy(spark, str(tmp_path / "none.npy")).count() == 0
+
+
+def test_hashed_trigrams():
+    a, b, c = hashed_trigrams(["Some text", "some TEXT", "xy"])
+    assert a == b and any(a) and not any(c) and sum(map(abs, a)) <= 7
 
 
 def test_commands(spark, tmp_path, monkeypatch, capsys):

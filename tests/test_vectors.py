@@ -1,3 +1,4 @@
+import math
 import struct
 
 import pytest
@@ -80,5 +81,27 @@ def test_batch_equals_single(spark, metric):
         assert [r.distance for r in mine] == pytest.approx([r.distance for r in want], abs=1e-6)
         assert [r["rank"] for r in mine] == [1, 2, 3, 4, 5, 6]
     assert knn.knn_batch(df.limit(0), queries, 6, metric).count() == 0
-    with pytest.raises(ValueError):
-        knn.knn_batch(df, queries, 6, metric, most=1)
+    blocks = knn.knn_batch(df, queries, 6, metric, block=1).orderBy("query_id", "rank").collect()
+    assert blocks == got
+    assert knn.knn_batch(df, queries.limit(0), 6, metric).count() == 0
+    odd = df.unionByName(spark.createDataFrame([(200, None)], df.schema))
+    some = queries.unionByName(spark.createDataFrame([(3, None)], queries.schema))
+    assert knn.knn_batch(odd, some, 6, metric).orderBy("query_id", "rank").collect() == got
+    assert 200 not in {r.vec_id for r in knn.knn(odd, [1.0] * 5, 99, metric).collect()}
+    named = df.withColumn("vec_id", F.concat(F.lit("k"), F.col("vec_id").cast("string")))
+    same = knn.knn_batch(named, queries.withColumn("query_id", F.concat(F.lit("q"), "query_id")), 6, metric)
+    assert [r.distance for r in same.orderBy("query_id", "rank").collect()] == [r.distance for r in got]
+
+
+def test_bytes_of_vectors(spark):
+    raw = [0.0, -0.0, 1.0, -2.5, 1e-40, -1e-45, 3.4028235e38, 0.1, 2.0**-126, 123456.789, float("inf"), float("-inf")]
+    import random
+
+    rng = random.Random(2)
+    raw += [rng.gauss(0, 1) * 10 ** rng.randint(-38, 37) for _ in range(300)]
+    df = spark.createDataFrame([(raw,)], "v array<float>")
+    assert bytes(df.select(V.to_blob(F.col("v"))).first()[0]) == struct.pack(f"<{len(raw)}f", *raw)
+    assert math.isnan(spark.sql("select array(float('nan')) as v").select(V.from_blob(V.to_blob(F.col("v")))).first()[0][0])
+    df = spark.createDataFrame([("[1,-128,127]", bytearray(b"\x00\xff\x80\x7f")), ("[200]", bytearray())], "s string, b binary")
+    assert [r[0] for r in df.select(V.int8_vector(F.col("s"))).collect()] == [[1, -128, 127], None]
+    assert [r[0] for r in df.select(V.int8_blob(F.col("b"))).collect()] == [r[0] for r in df.select(V.bit_blob(F.col("b"))).collect()] == [[0, -1, -128, 127], []]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 import os
 import time
@@ -12,12 +13,13 @@ from pyspark.sql import functions as F
 
 from .operators import filters, fusion, incremental, knn, lexical, postprocess
 from .operators.chunking import OVERLAP, SIZE
-from .operators.parsing import parse_query
+from .operators.parsing import parse_query, to_match
 from .plans.index import Index, IndexError_, delete, update
 from .session import ship
 from .sources.embed import Embedder, unit
 from .sources.listing import INDEX_DIR, Rules, scan
 
+ANSWER_SCHEMA = 2
 KINDS = {"lexical": "bm25", "semantic": "cosine", "hybrid": "rrf"}
 
 
@@ -42,8 +44,11 @@ class Engine:
         self.embedder, self.model, self.query_prefix, self.doc_prefix = embedder, model, query_prefix, doc_prefix
 
     # index -----------------------------------------------------------------------------------------------------
-    def index(self, root: str, rules: Rules | None = None, size: int | None = None, overlap: int | None = None, structured: bool | None = None, with_vectors: bool = False, strict: bool = False) -> dict:
-        """Index a tree, incrementally; the report has the counts of the run."""
+    def index(self, root: str, rules: Rules | None = None, size: int | None = None, overlap: int | None = None, structured: bool | None = None, with_vectors: bool = False, strict: bool = False, prune: bool = True, concurrency: int | None = None, stop=lambda: False) -> dict:
+        """Index a tree, incrementally; the report has the counts of the run.
+
+        prune: drop what is no longer on disk. concurrency: most embedding requests at a time. stop: see update().
+        """
         began, root, rules = time.time(), os.path.realpath(root), rules or Rules()
         meta = self.ix.manifest()["meta"] if self.ix.exists() else {}
         given = {"chunk_size": size, "overlap": overlap, "chunker": None if structured is None else "auto" if structured else "text"}
@@ -64,7 +69,7 @@ class Engine:
             auto = structured if structured is not None else stored["chunker"] != "text"
             report = update(
                 self.ix, listed.filter("reason is null and not is_dir").select("path", "size", "mtime"), filters.subtree(F.col("path"), root), rules.max_size,
-                self.embedder if with_vectors else None, self.model, self.doc_prefix, size, overlap, auto, {"roots": roots, "selection": vars(rules), "query_prefix": self.query_prefix, "doc_prefix": self.doc_prefix},
+                self.embedder if with_vectors else None, self.model, self.doc_prefix, size, overlap, auto, {"roots": roots, "selection": vars(rules), "query_prefix": self.query_prefix, "doc_prefix": self.doc_prefix}, prune, concurrency, stop,
             )
             reasons = listed.filter("reason is not null").groupBy("reason").agg(F.count("*").alias("n")).collect()
         finally:
@@ -82,19 +87,21 @@ class Engine:
         m = self.ix.manifest()
         kept = [r for r in m["roots"] if not any(r == p or r.startswith(p + "/") for p in map(os.path.abspath, paths))]
         if kept != m["roots"]:
-            self.ix._swap(m | {"roots": kept})
+            with self.ix.locked():
+                self.ix.swap(self.ix.manifest() | {"roots": kept})
         return n
 
     # search ----------------------------------------------------------------------------------------------------
     def _hits(self, scored: DataFrame, pool: int) -> DataFrame:
-        """The pool's rows with their chunks; scored rows beyond the pool are cut first, so the join's left side is bounded."""
-        best = lexical.top(scored, pool, "path", "seq")
-        return F.broadcast(best).join(self.ix.table("chunks"), ["path", "seq"]).select("path", "seq", "text", "line_start", "line_end", "score")
+        """The pool's rows with their chunks. The pool, cut to its bound, comes to the driver, so that only row groups that may hold its paths are read."""
+        best = lexical.top(scored, pool, "path", "seq").collect()
+        rows = self.spark.createDataFrame(best, "path string, seq int, score double")
+        wanted = self.ix.table("chunks").filter(F.col("path").isin(sorted({r["path"] for r in best})))
+        return wanted.join(F.broadcast(rows), ["path", "seq"]).select("path", "seq", "text", "line_start", "line_end", "score")
 
     def lexical(self, query: str, pool: int) -> DataFrame:
         posts = self.ix.table("postings").withColumn("key", F.struct("path", "seq"))
-        lengths = self.ix.table("lengths").select(F.struct("path", "seq").alias("key"), "dl")
-        got = lexical.search(posts, lengths, self.ix.table("corpus"), parse_query(query), "key", lexical.WEIGHTS)
+        got = lexical.search(posts, self.ix.corpus(), parse_query(query), "key", lexical.WEIGHTS)
         return self._hits(got.select("key.path", "key.seq", "score"), pool)
 
     def semantic(self, query: str, pool: int, where=None) -> DataFrame:
@@ -131,11 +138,15 @@ class Engine:
         return postprocess.shape(postprocess.snippets(hits, query, snippet), KINDS[mode]).orderBy("rank")
 
     def search_json(self, query: str, **options) -> str:
-        """The answer as one JSON object, with a warning for each stale path."""
+        """The answer as one JSON object: schema number, query and effective parameters, results, a warning for each stale path."""
         rows = [r.asDict() for r in self.search(query, **options).collect()]  # at most k
         warnings = [{"path": p, "code": c} for p, c in self.stale(list(dict.fromkeys(r["path"] for r in rows)))]
-        mode = options.get("mode", "lexical")
-        return json.dumps({"query": query, "mode": mode, "score_kind": KINDS[mode], "count": len(rows), "results": rows, "warnings": warnings}, ensure_ascii=False)
+        given = {n: p.default for n, p in inspect.signature(self.search).parameters.items() if n != "query"} | options
+        filtered = bool(given["root"] or given["exts"] or given["exclude"] or given["include"] or given["dedupe"] or given["max_per_file"] > 0)
+        parameters = given | {"pool": fusion.pool_size(given["k"], filtered, given["mode"] == "hybrid")}
+        context = {"text": query, "terms": [list(p.terms) for p in parse_query(query)], "match": to_match(parse_query(query)), "index": self.ix.base}
+        answer = {"schema": ANSWER_SCHEMA, "query": context, "parameters": parameters, "score_kind": KINDS[given["mode"]], "count": len(rows), "results": rows, "warnings": warnings}
+        return json.dumps(answer, ensure_ascii=False, default=list)
 
     def stale(self, paths: list[str]) -> list[tuple[str, str]]:
         """(path, missing or modified) of indexed paths that differ on disk; one stat for each."""
@@ -161,15 +172,24 @@ class Engine:
             raise IndexError_("usage", f"{path} is not indexed" if span[0] is None else f"{path} has chunks {span[0]} to {span[1]}")
         return rows
 
+    def show_json(self, ref: str, before: int = 0, after: int = 0) -> str:
+        """show() as one JSON object, with a warning if the file differs on disk."""
+        rows = [r.asDict() for r in self.show(ref, before, after).collect()]
+        stale = [{"path": p, "code": c} for p, c in self.stale([ref.rpartition("#")[0]])]
+        return json.dumps({"schema": ANSWER_SCHEMA, "ref": ref, "before": before, "after": after, "chunks": rows, "warnings": stale}, ensure_ascii=False)
+
     def status(self) -> dict:
         m = self.ix.manifest()
-        counts = {t: self.ix.table(t).count() for t in ("files", "chunks", "lengths", "vectors")}
+        counts = m["stats"] | {"lengths": m["stats"]["chunks"], "vectors": self.ix.table("vectors").count()}
         per_root = filters.best_root(self.ix.table("files"), m["roots"]).groupBy("root").count().collect()
-        size = sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(self.ix._where(m["version"], "")) for f in fs)
-        return m["meta"] | {"roots": m["roots"], "files": counts["files"], "chunks": counts["chunks"], "lexical_rows": counts["lengths"], "vectors": counts["vectors"], "files_by_root": {r["root"]: r["count"] for r in per_root}, "bytes": size}
+        size = self.ix.bytes()
+        return m["meta"] | {"roots": m["roots"], "files": counts["files"], "chunks": counts["chunks"], "lexical_rows": counts["lengths"], "vectors": counts["vectors"], "files_by_root": {r["root"]: r["count"] for r in per_root}, "segments": len(m["segments"]), "bytes": size}
+
+    def check(self, root: str | None = None, by_hash: bool = False, limit: int = 0, with_vectors: bool = False) -> dict:
+        """Disk against index: counts by status, issues, the stale files in order; exit code 3 if anything is stale.
 
-    def check(self, root: str | None = None, by_hash: bool = False, limit: int = 0) -> dict:
-        """Disk against index: counts by status, issues, the stale files in order; exit code 3 if anything is stale."""
+        with_vectors: whether a semantic search with this model and these prefixes could use the index, too.
+        """
         if not self.ix.exists():
             return {"issues": ["no_index"], "counts": {}, "files": [], "stale": True, "exit_code": 3}
         from .sources.reading import read
@@ -188,7 +208,9 @@ class Engine:
             listed = listed.join(again, "path", "left").withColumn("hash", F.coalesce("hash", F.lit("")))
         compared = incremental.compare(listed, files, disk.filter("reason is not null").select("path", "reason"), by_hash).persist()
         counts = {r["status"]: r["n"] for r in compared.groupBy("status").agg(F.count("*").alias("n")).collect()}
-        issues = ["vectors_missing"] if m["meta"].get("model") and not self.ix.has_vectors() else []
+        issues = ["vectors_missing"] if (m["meta"].get("model") or with_vectors) and not self.ix.has_vectors() else []
+        if with_vectors and self.ix.has_vectors() and any(m["meta"].get(k, "") != v for k, v in (("query_prefix", self.query_prefix), ("doc_prefix", self.doc_prefix))):
+            issues.append("prefix_mismatch")
         if self.model and m["meta"].get("model") not in (None, self.model):
             issues.append("model_mismatch")
         rows = [(r["path"], r["status"], r["reason"]) for r in incremental.check_list(compared, limit).collect()]

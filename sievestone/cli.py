@@ -5,9 +5,11 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import signal
 import sys
+import threading
 
-from .api import Engine, find
+from .api import ANSWER_SCHEMA, Engine, find
 from .plans.index import IndexError_
 from .session import local_session
 from .sources.embed import EmbedError, HttpEmbedder
@@ -20,6 +22,11 @@ TEXTS = {
     "indexed": ("indexed {indexed}, updated {updated}, unchanged {unchanged}, deleted {deleted}, failed {n_failed}", "добавлено {indexed}, обновлено {updated}, без изменений {unchanged}, удалено {deleted}, ошибок {n_failed}"),
     "removed": ("removed {n} files", "удалено файлов: {n}"),
     "fresh": ("the index is up to date", "индекс актуален"),
+    "status": (
+        "index {base}\nfiles {files}, chunks {chunks}, vectors {vectors}, {bytes} bytes in {segments} segments\nindexed at {indexed_at}, chunk size {chunk_size}, overlap {overlap}, chunker {chunker}",
+        "индекс {base}\nфайлов {files}, фрагментов {chunks}, векторов {vectors}, {bytes} байт, сегментов {segments}\nобновлён {indexed_at}, размер фрагмента {chunk_size}, перекрытие {overlap}, разбиение {chunker}",
+    ),
+    "interrupted": ("interrupted: what was read is indexed, nothing was pruned", "прервано: прочитанное проиндексировано, удаление не выполнялось"),
     "nothing": ("nothing found", "ничего не найдено"),
 }
 
@@ -49,8 +56,11 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("path", nargs="?", default=".")
     for flag in ("--ext", "--exclude", "--include-hidden"):
         c.add_argument(flag, type=_csv, default=[])
-    c.add_argument("--noisy", type=_csv, default=list(NOISY))
-    for flag in ("--hidden", "--vendor", "--no-gitignore", "--embed", "--strict", "--json"):
+    c.add_argument("--noisy-globs", type=_csv, default=list(NOISY))
+    c.add_argument("--include-noisy", type=_csv, default=[])
+    c.add_argument("--prune", action=argparse.BooleanOptionalAction, default=True)
+    c.add_argument("--concurrency", type=int, default=4)
+    for flag in ("--noisy", "--quiet", "--hidden", "--vendor", "--no-gitignore", "--embed", "--strict", "--json"):
         c.add_argument(flag, action="store_true")
     c.add_argument("--max-size", type=int, default=MAX_SIZE)
     c.add_argument("--chunk-size", type=int)
@@ -71,11 +81,14 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("ref")
     c.add_argument("--before", type=int, default=0)
     c.add_argument("--after", type=int, default=0)
-    sub.add_parser("status")
+    c.add_argument("--format", choices=["text", "json"], default="text")
+    c = sub.add_parser("status")
+    c.add_argument("--format", choices=["text", "json"], default="text")
     c = sub.add_parser("check")
     c.add_argument("path", nargs="?")
     c.add_argument("--hash", action="store_true")
-    c.add_argument("--list-limit", type=int, default=0)
+    c.add_argument("--embed", action="store_true")
+    c.add_argument("--list-limit", type=int, default=100)
     c = sub.add_parser("rm")
     c.add_argument("paths", nargs="+")
     sub.add_parser("version")
@@ -97,9 +110,25 @@ def run(args: argparse.Namespace) -> int:
         base = os.path.join(os.getcwd(), INDEX_DIR)
     e = Engine(local_session(), base, HttpEmbedder(args.embed_url, args.model) if args.embed_url else None, args.model, args.query_prefix, args.doc_prefix)
     if args.command == "index":
-        rules = Rules(args.ext, args.exclude, args.include_hidden, args.noisy, args.hidden, args.vendor, not args.no_gitignore, args.max_size)
-        report = e.index(args.path, rules, args.chunk_size, args.overlap, None if args.chunker is None else args.chunker == "auto", args.embed, args.strict)
-        write(json.dumps(report, ensure_ascii=False) if args.json else say("indexed", n_failed=len(report["failed"]), **{k: report[k] for k in ("indexed", "updated", "unchanged", "deleted")}))
+        if args.concurrency < 1:
+            raise IndexError_("usage", "concurrency must be over 0")
+        rules = Rules(args.ext, args.exclude, args.include_hidden, [] if args.noisy else args.noisy_globs, args.hidden, args.vendor, not args.no_gitignore, args.max_size, args.include_noisy)
+        asked: list = []
+        before = signal.signal(signal.SIGINT, lambda *_: asked.append(1)) if threading.current_thread() is threading.main_thread() else None
+        try:
+            report = e.index(args.path, rules, args.chunk_size, args.overlap, None if args.chunker is None else args.chunker == "auto", args.embed, args.strict, args.prune, args.concurrency, lambda: bool(asked))
+        finally:
+            if before is not None:
+                signal.signal(signal.SIGINT, before)
+        if args.json:
+            write(json.dumps({"schema": ANSWER_SCHEMA} | report, ensure_ascii=False))
+        elif not args.quiet:
+            write(say("indexed", n_failed=len(report["failed"]), **{k: report[k] for k in ("indexed", "updated", "unchanged", "deleted")}))
+            for path, code, message in report["failed"]:
+                print(f"{code}: {path}: {message}", file=sys.stderr)
+        if report["interrupted"]:
+            print(say("interrupted"), file=sys.stderr)
+            return 130
         return report["exit_code"]
     if args.command == "search":
         options = dict(k=args.k, mode=args.mode, root=args.root, exts=args.ext, exclude=args.exclude, include=args.path, dedupe=args.dedupe, max_per_file=args.max_per_file, snippet=args.snippet)
@@ -114,11 +143,17 @@ def run(args: argparse.Namespace) -> int:
         for path, code in e.stale(list(dict.fromkeys(r.path for r in rows))):
             print(f"{code}: {path}", file=sys.stderr)
     elif args.command == "show":
+        if args.format == "json":
+            write(e.show_json(args.ref, args.before, args.after))
+            return 0
         write("\n".join(f"{r.path}#{r.seq}  {r.line_start}-{r.line_end}\n{r.text}" for r in e.show(args.ref, args.before, args.after).collect()))
+        for path, code in e.stale([args.ref.rpartition("#")[0]]):
+            print(f"{code}: {path}", file=sys.stderr)
     elif args.command == "status":
-        write(json.dumps(e.status(), ensure_ascii=False, default=str))
+        status = e.status()
+        write(json.dumps({"schema": ANSWER_SCHEMA} | status, ensure_ascii=False, default=str) if args.format == "json" else "\n".join([say("status", base=base, **({"indexed_at": "-"} | status)), *(f"{r}: {n}" for r, n in sorted(status["files_by_root"].items()))]))
     elif args.command == "check":
-        report = e.check(args.path, args.hash, args.list_limit)
+        report = e.check(args.path, args.hash, args.list_limit, args.embed)
         write(json.dumps(report, ensure_ascii=False) if report["stale"] else say("fresh"))
         return report["exit_code"]
     else:
@@ -130,7 +165,7 @@ def main(argv: list[str] | None = None) -> int:
     try:
         return run(parser().parse_args(argv))
     except (IndexError_, EmbedError) as e:
-        print(json.dumps({"error": {"code": e.code, "message": str(e)}}, ensure_ascii=False), file=sys.stderr)
+        print(json.dumps({"schema": ANSWER_SCHEMA, "error": {"code": e.code, "message": str(e)}}, ensure_ascii=False), file=sys.stderr)
         return 2 if e.code == "usage" else 1
     except KeyboardInterrupt:
         return 130

@@ -73,37 +73,39 @@ def scan(docs: DataFrame, phrases: list[Phrase], weights: dict[str, float], keep
 
 
 def postings(docs: DataFrame, key: str, columns: dict[str, str], phrases: list[Phrase] | None = None) -> DataFrame:
-    """term, col, key, positions: one row for each term in each token array; columns: name of the posting column by array.
+    """term, col, key, positions, dl (tokens in all arrays): one row for each term in each token array; columns: name of the
+    posting column by array.
 
     phrases: only terms that these need, filtered before anything is grouped.
     """
-    parts = [docs.select(key, F.lit(name).alias("col"), F.posexplode(array).alias("pos", "term")) for array, name in columns.items()]
+    dl = reduce(lambda a, b: a + b, (F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0)) for c in columns)).alias("dl")
+    parts = [docs.select(key, dl, F.lit(name).alias("col"), F.posexplode(array).alias("pos", "term")) for array, name in columns.items()]
     if phrases is not None:
         whole = sorted({t for p in phrases if not p.prefix for t in p.terms})
         wanted = reduce(lambda a, b: a | b, (F.col("term").startswith(p.terms[0]) for p in phrases if p.prefix), F.col("term").isin(whole))
         parts = [p.filter(wanted) for p in parts]
-    return reduce(DataFrame.unionByName, parts).groupBy("term", "col", key).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return reduce(DataFrame.unionByName, parts).groupBy("term", "col", key).agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.first("dl").alias("dl"))
 
 
-def search(posts: DataFrame, lengths: DataFrame, corpus: DataFrame, phrases: list[Phrase], key: str, weights: dict[str, float]) -> DataFrame:
-    """key, score from postings, lengths (key, dl) and corpus (n, avgdl; one row)."""
+def search(posts: DataFrame, corpus: tuple[int, float], phrases: list[Phrase], key: str, weights: dict[str, float]) -> DataFrame:
+    """key, score from postings and corpus (how many keys there are, and their mean dl)."""
     if not phrases:
-        return lengths.limit(0).select(key, F.lit(0.0).alias("score"))
+        return posts.limit(0).select(key, F.lit(0.0).alias("score"))
     weight = reduce(lambda w, c: w.when(F.col("col") == c, weights[c]), weights, F.when(F.lit(False), 0.0))
     parts = []
     for i, p in enumerate(phrases):
         if p.prefix:
-            rows = posts.filter(F.col("term").startswith(p.terms[0])).select(key, "col", F.size("positions").alias("n"))
+            rows = posts.filter(F.col("term").startswith(p.terms[0])).select(key, "col", "dl", F.size("positions").alias("n"))
         elif len(p.terms) == 1:
-            rows = posts.filter(F.col("term") == p.terms[0]).select(key, "col", F.size("positions").alias("n"))
+            rows = posts.filter(F.col("term") == p.terms[0]).select(key, "col", "dl", F.size("positions").alias("n"))
         else:  # a place where the phrase starts is met once for each of its terms
-            own = [posts.filter(F.col("term") == t).select(key, "col", F.explode("positions").alias("at")).select(key, "col", (F.col("at") - k).alias("at"), F.lit(k).alias("k")) for k, t in enumerate(p.terms)]
-            rows = reduce(DataFrame.unionByName, own).groupBy(key, "col", "at").agg(F.count("*").alias("m")).filter(F.col("m") == len(p.terms)).select(key, "col", F.lit(1).alias("n"))
-        parts.append(rows.select(key, F.lit(i).alias("p"), (weight * F.col("n")).alias("f")))
-    found = reduce(DataFrame.unionByName, parts).groupBy(key, "p").agg(F.sum("f").alias("f"))
+            own = [posts.filter(F.col("term") == t).select(key, "col", "dl", F.explode("positions").alias("at")).select(key, "col", "dl", (F.col("at") - k).alias("at"), F.lit(k).alias("k")) for k, t in enumerate(p.terms)]
+            rows = reduce(DataFrame.unionByName, own).groupBy(key, "col", "at").agg(F.count("*").alias("m"), F.first("dl").alias("dl")).filter(F.col("m") == len(p.terms)).select(key, "col", "dl", F.lit(1).alias("n"))
+        parts.append(rows.select(key, "dl", F.lit(i).alias("p"), (weight * F.col("n")).alias("f")))
+    found = reduce(DataFrame.unionByName, parts).groupBy(key, "p").agg(F.sum("f").alias("f"), F.first("dl").alias("dl"))
     having = found.groupBy("p").agg(F.count("*").alias("df"))  # a row for each phrase of the query
-    rows = found.join(F.broadcast(having), "p").crossJoin(F.broadcast(corpus)).join(lengths, key)
-    rows = rows.withColumn("s", _score(F.col("f"), idf(F.col("n"), F.col("df")), F.col("dl"), F.col("avgdl")))
+    rows = found.join(F.broadcast(having), "p")
+    rows = rows.withColumn("s", _score(F.col("f"), idf(F.lit(float(corpus[0])), F.col("df")), F.col("dl"), F.lit(float(corpus[1]))))
     return rows.groupBy(key).agg(F.sum("s").alias("score"), F.count("*").alias("m")).filter(F.col("m") == len(phrases)).select(key, "score")
 
 

@@ -120,9 +120,8 @@ def _(t):
     docs = _texts(t).select("doc_id", T.tokens(F.col("text")).alias("body"))
     wanted = parse_query('"of the" that', stemmed=False)
     posts = lexical.postings(docs, "doc_id", {"body": "body"}, wanted)
-    lengths = docs.select("doc_id", F.size("body").cast("bigint").alias("dl"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return _top(lexical.search(posts, lengths, corpus, wanted, "doc_id", {"body": 1.0}))
+    corpus = docs.agg(F.count("*"), F.avg(F.size("body"))).first()
+    return _top(lexical.search(posts, tuple(corpus), wanted, "doc_id", {"body": 1.0}))
 
 
 @query("stemmed_search")

@@ -30,7 +30,7 @@ MAX_SIZE = 10 << 20
 
 @dataclass
 class Rules:
-    """How a tree is selected; empty ext admits all."""
+    """How a tree is selected; empty ext admits all, empty noisy finds nothing noisy."""
 
     ext: list[str] = field(default_factory=list)
     exclude: list[str] = field(default_factory=list)
@@ -40,6 +40,7 @@ class Rules:
     vendor: bool = False
     gitignore: bool = True
     max_size: int = MAX_SIZE
+    include_noisy: list[str] = field(default_factory=list)
 
 
 def _any(patterns: list[str], *values: str) -> bool:
@@ -114,7 +115,7 @@ def walk(root: str, rules: Rules | None = None, failed: list | None = None) -> I
             return "gitignore"
         if _any(rules.exclude, rel, name):
             return "exclude_glob"
-        if _any(rules.noisy or NOISY, low):
+        if _any(rules.noisy, low) and not _any(rules.include_noisy, rel, name):
             return "noisy"
         if not _any(rules.include_hidden, rel, name):
             if name.startswith(".") and not rules.hidden:

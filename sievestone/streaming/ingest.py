@@ -1,4 +1,8 @@
-"""Incremental ingest as a stream: new files of a folder of JSON or Parquet documents are chunked and merged by micro-batch."""
+"""Incremental ingest as a stream: new files of a folder of JSON or Parquet documents are chunked and merged by micro-batch.
+
+A micro-batch writes one segment of its own rows and tombstones for the paths that it replaces; nothing else is rewritten
+until the index compacts its segments.
+"""
 
 from __future__ import annotations
 
@@ -6,29 +10,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chunking import chunks
-from ..operators.incremental import replace_rows
-from ..plans.index import TABLES, Index, corpus_of, lexical_tables
+from ..plans.index import ALL, TABLES, Index, segment, tombstones
+
+SCHEMA = "path string, text string, version bigint"
 
 
-def documents_stream(spark: SparkSession, folder: str, schema: str = "path string, text string", fmt: str = "parquet", files_per_trigger: int = 1000) -> DataFrame:
+def documents_stream(spark: SparkSession, folder: str, schema: str = SCHEMA, fmt: str = "parquet", files_per_trigger: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_trigger).load(folder)
 
 
 def merge(index: Index, batch: DataFrame) -> None:
-    """The latest row of each path replaces what the index holds of it; applying a batch twice changes nothing."""
-    rows = batch.groupBy("path").agg(F.last("text").alias("text")).persist()
+    """Of each path the row with the largest version (ties and rows without one: the largest text) replaces what the index holds.
+
+    Rows without a path are left out; applying a batch twice changes nothing that a reader sees.
+    """
+    version = F.col("version") if "version" in batch.columns else F.lit(None).cast("bigint")
+    latest = F.max(F.struct(F.coalesce(version, F.lit(-(1 << 63))).alias("version"), F.coalesce("text", F.lit("")).alias("text")))
+    rows = batch.filter("path is not null").groupBy("path").agg(latest.alias("x")).select("path", F.col("x.text").alias("text")).persist()
+    new_chunks = chunks(rows).persist()
     try:
-        old = {t: index.table(t) if index.exists() else index.spark.createDataFrame([], TABLES[t]) for t in TABLES}
-        new_chunks = chunks(rows)
-        lex = lexical_tables(new_chunks)
         files = rows.select("path", F.lit(0).cast("bigint").alias("mtime"), F.octet_length("text").cast("bigint").alias("size"), F.xxhash64("text").cast("string").alias("hash"))
-        gone = rows.select("path")
-        keep = lambda t: old[t].join(gone, "path", "left_anti")
-        tables = {"files": replace_rows(old["files"], files), "chunks": keep("chunks").unionByName(new_chunks), "postings": keep("postings").unionByName(lex["postings"]), "lengths": keep("lengths").unionByName(lex["lengths"])}
-        tables["corpus"] = corpus_of(tables["lengths"])
-        index.commit(tables, {})
+        old = index.table("files") if index.exists() else index.spark.createDataFrame([], TABLES["files"])
+        replaced = rows.select("path").join(old.select("path"), "path", "left_semi")
+        with index.locked():
+            index.commit(segment(files, new_chunks), tombstones(replaced, ALL), {})
     finally:
         rows.unpersist()
+        new_chunks.unpersist()
 
 
 def run(index: Index, stream: DataFrame, checkpoint: str):

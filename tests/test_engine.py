@@ -4,6 +4,7 @@ import os
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievestone.api import Engine
 from sievestone.plans.index import IndexError_
@@ -76,6 +77,8 @@ def test_walk(tmp_path):
     }
     got = {rel: reason for _, rel, _, _, _, reason in walk(str(tmp_path), Rules(include_hidden=[".env"]))}
     assert got[".env"] is None
+    got = {rel: reason for _, rel, _, _, _, reason in walk(str(tmp_path), Rules(include_noisy=["yarn.*"]))}
+    assert got["yarn.lock"] is None and {rel: r for _, rel, _, _, _, r in walk(str(tmp_path), Rules(noisy=[]))}["yarn.lock"] is None
     assert Ignore("/a\nb/\n**/c\n").ignores("a", False) and not Ignore("/a").ignores("x/a", False) and not Ignore("b/").ignores("b", False)
 
 
@@ -115,13 +118,83 @@ def test_cycle(engine):
         e.index(str(src), size=99)
 
 
+def stored(ix):
+    return sorted((r.path, r.text) for r in ix.table("chunks").collect())
+
+
 def test_stream(spark, tmp_path):
     from sievestone.plans.index import Index
-    from sievestone.streaming.ingest import documents_stream, run
+    from sievestone.streaming.ingest import SCHEMA, documents_stream, merge, run
 
-    ix = Index(spark, str(tmp_path / "ix"))
-    spark.createDataFrame([("/a", "one two"), ("/b", "three")], "path string, text string").write.parquet(str(tmp_path / "in"))
+    ix = Index(spark, f"file://{tmp_path}/ix")
+    put = lambda *rows: spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put(("/a", "one two", 1), ("/b", "three", 1))
     run(ix, documents_stream(spark, str(tmp_path / "in")), str(tmp_path / "cp")).awaitTermination()
-    spark.createDataFrame([("/a", "four")], "path string, text string").write.mode("append").parquet(str(tmp_path / "in"))
+    put(("/a", "old", 2), ("/a", "four five", 3), (None, "x", 1), ("/c", None, 1))
     run(ix, documents_stream(spark, str(tmp_path / "in")), str(tmp_path / "cp")).awaitTermination()
-    assert sorted((r.path, r.text) for r in ix.table("chunks").collect()) == [("/a", "four"), ("/b", "three")]
+    assert stored(ix) == [("/a", "four five"), ("/b", "three")]
+    m = ix.manifest()
+    assert len(m["segments"]) == 2 and m["stats"]["files"] == 3 and m["stats"]["chunks"] == 2  # the first segment is as it was
+    again = spark.createDataFrame([("/a", "four five", 3)], SCHEMA)
+    merge(ix, again)
+    assert stored(ix) == [("/a", "four five"), ("/b", "three")] and ix.manifest()["stats"] == m["stats"]
+
+
+def test_segments_and_compaction(spark, tmp_path):
+    from sievestone.plans import index as plans
+    from sievestone.streaming.ingest import SCHEMA, merge
+
+    ix, want = plans.Index(spark, str(tmp_path / "ix")), {}
+    for i in range(plans.MOST_SEGMENTS + 3):
+        rows = {f"/f{i % 4}": f"text number {i} here", f"/only{i}": "apart"}
+        want |= rows
+        merge(ix, spark.createDataFrame([(p, t, 1) for p, t in rows.items()], SCHEMA))
+        assert stored(ix) == sorted(want.items())
+        m = ix.manifest()
+        lengths = [r.dl for r in ix.table("lengths").collect()]
+        assert m["stats"] == {"files": len(want), "chunks": len(lengths), "dl": sum(lengths)}
+        assert sorted({(r.path, r.dl) for r in ix.table("postings").collect()}) == sorted((r.path, r.dl) for r in ix.table("lengths").collect())
+    assert len(m["segments"]) <= 4 and plans.delete(ix, F.col("path").startswith("/only")) == plans.MOST_SEGMENTS + 3
+    assert stored(ix) == sorted((p, t) for p, t in want.items() if p.startswith("/f")) and ix.manifest()["stats"]["files"] == 4
+
+
+def test_one_writer(spark, tmp_path):
+    from sievestone.plans.index import Index
+
+    ix = Index(spark, str(tmp_path / "ix"))
+    with ix.locked(), pytest.raises(IndexError_) as err, ix.locked():
+        pass
+    assert err.value.code == "locked"
+    with ix.locked():
+        pass
+
+
+def test_touch_prune_stop_and_vectors(engine):
+    e, src = engine
+    e.index(str(src))
+    os.utime(src / "notes.txt", (1, 1))
+    again = e.index(str(src))
+    assert again["unchanged"] == 3 and again["updated"] == 0 and e.check()["exit_code"] == 0
+    assert e.search("поиск").count() == 1 and e.status()["files"] == 3
+    os.remove(src / "notes.txt")
+    assert e.index(str(src), prune=False)["deleted"] == 0 and e.status()["files"] == 3
+    halted = e.index(str(src), stop=lambda: True)
+    assert halted["interrupted"] and halted["deleted"] == 0 and e.status()["files"] == 3
+    assert e.index(str(src))["deleted"] == 1 and e.search("поиск").count() == 0
+    assert e.check(with_vectors=True)["issues"] == ["vectors_missing"]
+    e.index(str(src), with_vectors=True, concurrency=1)
+    assert e.status()["vectors"] == e.status()["chunks"] and e.check(with_vectors=True)["issues"] == []
+    make(src, {"docs/guide.md": "# New\n\nQuite other words.\n"})
+    e.index(str(src), with_vectors=True)
+    assert e.status()["vectors"] == e.status()["chunks"] == e.ix.table("vectors").join(e.ix.table("chunks"), ["path", "seq"]).count()
+
+
+def test_json_answers(engine):
+    e, src = engine
+    e.index(str(src))
+    got = json.loads(e.search_json("replace files", k=3, exts=["md"]))
+    assert got["schema"] == 2 and got["query"]["text"] == "replace files" and got["parameters"]["k"] == 3 and got["parameters"]["pool"] == 100 and got["count"] == 1
+    ref = got["results"][0]["ref"]
+    make(src, {"docs/guide.md": "# Changed in the meantime\n"})
+    shown = json.loads(e.show_json(ref))
+    assert [w["code"] for w in shown["warnings"]] == ["modified"] and len(shown["chunks"]) == 1

@@ -100,7 +100,10 @@ def test_commands(spark, tmp_path, monkeypatch, capsys):
     code, said = go("search", "--format", "paths", "words")
     assert code == 0 and said.out.strip() == os.path.realpath(tmp_path / "a.md")
     assert json.loads(go("search", "--format", "json", "words")[1].out)["count"] == 1
+    assert json.loads(go("show", "--format", "json", os.path.realpath(tmp_path / "a.md") + "#0")[1].out)["warnings"] == []
+    assert go("index", "--quiet", "--no-prune", "--noisy", ".")[1].out == "" and go("index", "--concurrency", "0", ".")[0] == 2
+    assert go("check", "--embed")[0] == 3
     assert "Title" in go("show", os.path.realpath(tmp_path / "a.md") + "#0")[1].out
     assert go("search", "--mode", "semantic", "x")[0] == 1 and go("search", "-k", "0", "x")[0] == 2
-    assert go("check")[0] == 0 and json.loads(go("status")[1].out)["files"] == 1
+    assert go("check")[0] == 0 and json.loads(go("status", "--format", "json")[1].out)["files"] == 1 and "files 1" in go("status")[1].out
     assert go("rm", str(tmp_path))[0] == 0

@@ -18,6 +18,7 @@ sequence_id or offset. A very long text is encoded whole; the caches of words ar
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -31,8 +32,9 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from .common import cut, map_arrow, texts, unused
 
 #: Words, and parts of words, that a worker keeps for each generation: some 0.7 kB of memory each, against work done twice.
-CACHE, CACHE_BYTES = 500_000, 48 << 20
+CACHE, CACHE_BYTES, BLOCK = 500_000, 48 << 20, 3 << 20
 #: The tokenizer's own cut of a word. Parts are cut here only for words of Latin letters, where it is sure to be the same.
+PLAIN = re.compile("^([a-zªµºß-öø-ɏ]+)([.,]?)$|^.*$", re.M)  # of lines in lower case: letters and a stop or comma, or anything else
 PARTS = "'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\\s\\p{L}\\p{N}]+"
 #: Of tokens, documents and attention cost in the residual norm.
 WEIGHTS = (1.0, 0.25, 0.25)
@@ -71,11 +73,11 @@ class WordIds:
             self.known_cut = "|[\\\\p{L}]+|[\\\\p{N}]|" in f.read(4000) and bool(ends)
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text; words are looked up for some megabyte of texts at once."""
+        """The ids of each text; words are looked up for some megabytes of texts at once."""
         at = 0
         while at < len(texts):
             lists, size = [], 0
-            while at < len(texts) and size < 1 << 20:
+            while at < len(texts) and size < BLOCK:
                 lists.append(texts[at].split())
                 size, at = size + len(texts[at]), at + 1
             self.learn(self.words.lacking(set(chain.from_iterable(lists))))
@@ -96,34 +98,42 @@ class WordIds:
         return None if "<|" in s else self.cut.findall(s.lower())
 
     def learn(self, words: set[bytes]) -> None:
-        plain, other = [], []
-        for w in words:
+        lines, other, out = list(words), [], self.words.now
+        cuts = PLAIN.findall(b"\n".join(lines).decode("utf-8", "replace").lower()) if lines and self.known_cut else [("", "")] * len(lines)
+        odd = []  # words that aren't plain, cut one by one or encoded whole
+        for w in [w for w, (a, _) in zip(lines, cuts, strict=True) if not a]:
             s = w.decode("utf-8", "replace")
             parts = self.cut_word(s)
             if parts is None:
                 other.append((w, s))
             else:
-                plain.append((w, parts))
-        new = list(self.parts.lacking({p for _, ps in plain for p in ps}))
+                odd.append((w, parts))
+        wanted = {a for a, _ in cuts}
+        wanted.update((".", ","), *(ps for _, ps in odd))
+        wanted.discard("")
+        new = list(self.parts.lacking(wanted))
         if new:  # all at once: each part is one word of the model, and a word's last piece says that it is the last
             ids = np.array(self.tok.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) == len(new):
-                raw, bounds = ids.tobytes(), [0, *(4 * at).tolist()]
-                self.parts.now.update((p, raw[a:b]) for p, a, b in zip(new, bounds, bounds[1:], strict=False))
+                raw, bounds = ids.tobytes(), (4 * at).tolist()
+                self.parts.now.update(zip(new, map(raw.__getitem__, map(slice, [0, *bounds], bounds)), strict=False))
             else:
                 self.parts.now.update(zip(new, self.encoded(new), strict=True))
-        get, out = self.parts.now.__getitem__, self.words.now
-        for w, ps in plain:
-            out[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
+        of = self.parts.now
+        stop = {"": b"", ".": of["."], ",": of[","]}
+        out.update((w, of[a] + stop[b]) for w, (a, b) in zip(lines, cuts, strict=True) if a)
+        out.update((w, b"".join(map(of.__getitem__, ps))) for w, ps in odd)
         out.update(zip([w for w, _ in other], self.encoded([s for _, s in other]), strict=True))
 
 
 def encoder(path: str, cache: int) -> WordIds:
     """One encoder for each worker process; another cache size replaces it."""
+    import gc
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    gc.set_threshold(200_000)  # lists of words are many and form no cycles
     if (path, cache) not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[path, cache] = WordIds(path, cache)

@@ -783,3 +783,27 @@ def test_pipeline(spark, tmp_path):
     assert len(clean & kept[1]) >= 0.97 * len(clean)
     assert 2003 not in kept[2] and 2001 in kept[2] and 2000 in kept[2] and 2000 not in kept[3] and 2001 in kept[3]
     assert kept[3] == kept[4]
+    # each stage again, from the rows that the one before it kept, by plain code
+    at = lambda k: spark.read.parquet(f"{tmp_path}/{k}")
+    all_docs, labels = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")
+    ids = lambda df: collections.Counter(key(r.doc_id) for r in df.select("doc_id").collect())
+    assert ids(at(0)) == ids(toxicity.score(all_docs, toxicity.fit(all_docs, labels)).filter("score < 0.3"))
+    assert ids(at(1)) == ids(quality.score(at(0), quality.fit(at(0), labels)).filter("score >= 0.3"))
+    rows = [(r.doc_id, r.text) for r in at(1).collect()]
+    prints = [plain_fingerprint(t) for _, t in rows]
+    comp = brute_components(list(set(prints)), 4)
+    best = {}
+    for (i, _), f in zip(rows, prints, strict=True):
+        best[comp[f]] = min(best.get(comp[f], (True, 0)), (i is None, i or 0))
+    assert ids(at(2)) == collections.Counter(-1 if none else i for none, i in best.values())
+    own = contamination.shingles(item.lower().encode().split(), 5)
+    clean = [(r.doc_id, r.text) for r in at(2).collect() if len(own & contamination.shingles((r.text or "").lower().encode().split(), 5)) < 0.8 * len(own)]
+    assert ids(at(3)) == collections.Counter(key(i) for i, _ in clean)
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(vocabulary_file(TOKENIZER))
+    want = collections.Counter()
+    for i, t in clean:
+        raw = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()
+        want.update((key(i), k // 16384, len(raw[k : k + 16384]) // 4, zlib.crc32(raw[k : k + 16384])) for k in range(0, len(raw), 16384))
+    assert collections.Counter((key(r.doc_id), r.piece, r.length, r.ids_crc32) for r in at(4).collect()) == want

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import contamination, lm, packing, quality, rules, sharding, simhash, token_counts, toxicity, warc
-from .common import fold_of, ship, table
+from .common import fold_of, ship, spread, table
 
 TOKENIZER, UNIGRAM = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -20,18 +20,23 @@ def vocabulary_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents; a file of fewer parts than cores is spread over them."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = packing.pieces(table(spark, sf_dir, "documents"), vocabulary_file(TOKENIZER))
+    rows = packing.pieces(_documents(spark, sf_dir), vocabulary_file(TOKENIZER))
     return packing.pack(rows)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = contamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    got = contamination.contained(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return got.withColumn("containment", F.round(F.col("n_found") / F.col("n_shingles"), 6))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    got = simhash.near_duplicates(_documents(spark, sf_dir))
     return got.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -41,37 +46,37 @@ def _judged(got: DataFrame, folds: int, held: int) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return _judged(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 5, 0)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return _judged(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 4, 2)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = sharding.shard(table(spark, sf_dir, "documents"), 16)
+    got = sharding.shard(_documents(spark, sf_dir), 16)
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = rules.apply_rules(table(spark, sf_dir, "documents"))
+    got = rules.apply_rules(_documents(spark, sf_dir))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_file(UNIGRAM))
+    return token_counts.token_counts(_documents(spark, sf_dir), vocabulary_file(UNIGRAM))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = warc.folder(spark)
-    index = warc.write(table(spark, sf_dir, "pages"), where)
+    index = warc.write(spread(table(spark, sf_dir, "pages")), where)
     return warc.read(index, where).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")  # the nearer to the conversations, the lower the score
+    docs = _documents(spark, sf_dir)  # the nearer to the conversations, the lower the score
     return lm.score(docs, lm.fit(table(spark, sf_dir, "conversations"), docs))
 
 

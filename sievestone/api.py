@@ -17,7 +17,7 @@ from .operators.parsing import parse_query, to_match
 from .plans.index import Index, IndexError_, delete, update
 from .session import ship
 from .sources.embed import Embedder, unit
-from .sources.listing import INDEX_DIR, Rules, scan
+from .sources.listing import FAILED, INDEX_DIR, Rules, scan
 
 ANSWER_SCHEMA = 2
 KINDS = {"lexical": "bm25", "semantic": "cosine", "hybrid": "rrf"}
@@ -36,6 +36,10 @@ def find(start: str, explicit: str | None = None) -> str | None:
         here = os.path.dirname(here)
 
 
+def _unlisted(listed: DataFrame) -> list[tuple]:
+    return [tuple(r) for r in listed.filter(F.col("reason") == FAILED).select("path", "reason", "message").orderBy("path").collect()]
+
+
 class Engine:
     """All operations on one index folder."""
 
@@ -58,8 +62,7 @@ class Engine:
             raise IndexError_("usage", f"the index was built with other {', '.join(differing)}")
         if with_vectors and meta.get("model") not in (None, self.model):
             raise IndexError_("usage", f"the index was built with model {meta['model']}")
-        failed: list = []
-        listed = scan(self.spark, root, rules, failed).persist()
+        listed = scan(self.spark, root, rules).persist()
         try:
             roots = self.ix.manifest()["roots"] if self.ix.exists() else []
             if not any(root == r or root.startswith(r + "/") for r in roots):
@@ -71,7 +74,8 @@ class Engine:
                 self.ix, listed.filter("reason is null and not is_dir").select("path", "size", "mtime"), filters.subtree(F.col("path"), root), rules.max_size,
                 self.embedder if with_vectors else None, self.model, self.doc_prefix, size, overlap, auto, {"roots": roots, "selection": vars(rules), "query_prefix": self.query_prefix, "doc_prefix": self.doc_prefix}, prune, concurrency, stop,
             )
-            reasons = listed.filter("reason is not null").groupBy("reason").agg(F.count("*").alias("n")).collect()
+            failed = _unlisted(listed)
+            reasons = listed.filter(F.col("reason").isNotNull() & (F.col("reason") != FAILED)).groupBy("reason").agg(F.count("*").alias("n")).collect()
         finally:
             listed.unpersist()
         report["excluded_by_reason"] = {r["reason"]: r["n"] for r in reasons}
@@ -197,8 +201,7 @@ class Engine:
         m = self.ix.manifest()
         rules = Rules(**m["meta"].get("selection", {}))
         roots = [os.path.realpath(root)] if root else m["roots"]
-        failed: list = []
-        disk = reduce(DataFrame.unionByName, (scan(self.spark, r, rules, failed) for r in roots)).dropDuplicates(["path"]).persist()
+        disk = reduce(DataFrame.unionByName, (scan(self.spark, r, rules) for r in roots)).dropDuplicates(["path"]).persist()
         under = reduce(lambda a, b: a | b, (filters.subtree(F.col("path"), r) for r in roots))
         files = self.ix.table("files").filter(under)
         listed = disk.filter("reason is null and not is_dir").select("path", "size", "mtime")
@@ -206,7 +209,7 @@ class Engine:
             differing = listed.join(files.select("path", F.col("mtime").alias("m"), F.col("size").alias("s"), "hash"), "path").filter((F.col("m") != F.col("mtime")) | (F.col("s") != F.col("size")))
             again = read(differing.select("path", "size", "mtime"), rules.max_size).select("path", F.coalesce("hash", "code").alias("hash"))
             listed = listed.join(again, "path", "left").withColumn("hash", F.coalesce("hash", F.lit("")))
-        compared = incremental.compare(listed, files, disk.filter("reason is not null").select("path", "reason"), by_hash).persist()
+        compared = incremental.compare(listed, files, disk.filter(F.col("reason").isNotNull() & (F.col("reason") != FAILED)).select("path", "reason"), by_hash).persist()
         counts = {r["status"]: r["n"] for r in compared.groupBy("status").agg(F.count("*").alias("n")).collect()}
         issues = ["vectors_missing"] if (m["meta"].get("model") or with_vectors) and not self.ix.has_vectors() else []
         if with_vectors and self.ix.has_vectors() and any(m["meta"].get(k, "") != v for k, v in (("query_prefix", self.query_prefix), ("doc_prefix", self.doc_prefix))):
@@ -214,6 +217,7 @@ class Engine:
         if self.model and m["meta"].get("model") not in (None, self.model):
             issues.append("model_mismatch")
         rows = [(r["path"], r["status"], r["reason"]) for r in incremental.check_list(compared, limit).collect()]
+        failed = _unlisted(disk)
         stale = bool(issues) or any(counts.get(s) for s in incremental.STATUS_ORDER)
         total = sum(counts.get(s, 0) for s in incremental.STATUS_ORDER)
         for df in (disk, compared):

@@ -74,9 +74,30 @@ def declare(text: str) -> Declaration:
     return out
 
 
+#: Comparisons that a filter may use, by the type of its column.
+ORDERED = {"=": "__eq__", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__"}
+COMPARISONS = {"bigint": {*ORDERED, "in"}, "string": {*ORDERED, "in"}, "double": set(ORDERED), "boolean": {"=", "!="}}
+VALUES = {"bigint": int, "string": str, "double": (int, float), "boolean": bool}
+
+
 class VectorTable:
     """Rows of a declaration."""
 
+    def where(self, *filters: tuple) -> Column:
+        """All of the filters (column, comparison, value) on partition and metadata columns; anything else is an error."""
+        out = F.lit(True)
+        for name, op, value in filters:
+            kind = (self.d.partitions | self.d.metadata).get(name)
+            if kind is None:
+                raise ValueError(f"{name} is an auxiliary column and cannot be filtered on" if name in self.d.aux else f"no partition or metadata column {name}")
+            if op not in COMPARISONS[kind]:
+                raise ValueError(f"{name} is {kind} and cannot be compared by {op}")
+            values = list(value) if op == "in" else [value]
+            if any(not isinstance(v, VALUES[kind]) or isinstance(v, bool) != (kind == "boolean") for v in values):
+                raise ValueError(f"{name} is {kind} and cannot be compared with {value!r}")
+            out = out & (F.col(name).isin(values) if op == "in" else getattr(F.col(name), ORDERED[op])(F.lit(value)))
+        return out
+
     def __init__(self, spark: SparkSession, declaration: Declaration | str, rows: DataFrame | None = None):
         self.d = declare(declaration) if isinstance(declaration, str) else declaration
         schema = ", ".join(f"{n} {t}" for n, t in self.d.columns().items())

@@ -126,3 +126,11 @@ def read_npy(spark, source: str | bytes, block: int = 1 << 16) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + count)), values], ["vec_id", "embedding"])
 
     return map_arrow(spark.range(0, blocks, 1, max(1, min(blocks, 10_000))), run, "vec_id bigint, embedding array<float>")
+
+
+def read_blob(spark, data: bytes, dim: int) -> DataFrame:
+    """vec_id, embedding of a static table of float32 vectors that lie end to end in bytes."""
+    if dim < 1 or len(data) % (4 * dim):
+        raise ValueError(f"{len(data)} bytes are no whole number of vectors of {dim} elements")
+    rows = np.frombuffer(data, "<f4").reshape(-1, dim)
+    return spark.createDataFrame(((i, row.tolist()) for i, row in enumerate(rows)), "vec_id bigint, embedding array<float>")

@@ -1,7 +1,8 @@
 """What files of a tree are to be indexed, and why the others aren't.
 
-The lister runs on the driver (Spark's own sources drop names that start with _ or . and cut times to milliseconds)
-and gives rows; reading and decoding is the executors' work.
+Spark's own sources drop names that start with _ or . and cut times to milliseconds, so folders are listed here: the
+upper ones by the driver, level by level, until there are enough to share out; what is below them by executors, which
+must see the tree at the same place. Reading and decoding is the executors' work too.
 """
 
 from __future__ import annotations
@@ -9,12 +10,16 @@ from __future__ import annotations
 import os
 import re
 import stat
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.filters import glob_regex
+from ..session import map_arrow
 
 #: Names that are never, or not by default, indexed; all compared in lower case.
 INDEX_DIR = ".sievestone"
@@ -93,14 +98,15 @@ def may_hold(patterns: list[str], rel: str, name: str) -> bool:
     return False
 
 
-def walk(root: str, rules: Rules | None = None, failed: list | None = None) -> Iterator[tuple[str, str, int, int, bool, str | None]]:
-    """(path, rel, size, mtime in ns, is_dir, reason) of each candidate file (reason None) and each exclusion."""
-    rules = rules or Rules()
-    root = os.path.realpath(root)
-    exts = {"." + e.strip().lower().lstrip(".") for e in rules.ext}
+class Lister:
+    """Decides about the entries of one folder at a time."""
 
-    def dir_reason(rel: str, name: str, ignored: bool) -> str | None:
-        low = name.lower()
+    def __init__(self, root: str, rules: Rules | None = None):
+        self.root, self.rules = os.path.realpath(root), rules or Rules()
+        self.exts = {"." + e.strip().lower().lstrip(".") for e in self.rules.ext}
+
+    def dir_reason(self, rel: str, name: str, ignored: bool) -> str | None:
+        low, rules = name.lower(), self.rules
         if low in HARD_EXCLUDED:
             return "hard_excluded"
         if low in VENDOR and not rules.vendor:
@@ -109,8 +115,8 @@ def walk(root: str, rules: Rules | None = None, failed: list | None = None) -> I
             return "hidden"
         return "gitignore" if ignored else "exclude_glob" if _any(rules.exclude, rel, name) else None
 
-    def file_reason(rel: str, name: str, size: int, ignored: bool) -> str | None:
-        low = name.lower()
+    def file_reason(self, rel: str, name: str, size: int, ignored: bool) -> str | None:
+        low, rules = name.lower(), self.rules
         if ignored:
             return "gitignore"
         if _any(rules.exclude, rel, name):
@@ -122,55 +128,96 @@ def walk(root: str, rules: Rules | None = None, failed: list | None = None) -> I
                 return "hidden"
             if _any(SECRETS, low):
                 return "secret"
-        if exts and os.path.splitext(low)[1] not in exts:
+        if self.exts and os.path.splitext(low)[1] not in self.exts:
             return "ext"
         return "empty" if size == 0 else "too_large" if size > rules.max_size else None
 
-    def visit(folder: str, above: list[tuple[str, Ignore]]) -> Iterator:
-        try:
-            entries = sorted(os.scandir(folder), key=lambda e: e.name)
-        except OSError as e:
-            if failed is not None:
-                failed.append((folder, "walk_failed", str(e)))
-            return
-        if rules.gitignore and any(e.name == ".gitignore" for e in entries):
+    def ignores(self, folder: str) -> list[tuple[str, Ignore]]:
+        """The .gitignore files from the root down to a folder, itself included."""
+        rel = os.path.relpath(folder, self.root)
+        names = [] if rel == "." else rel.split(os.sep)
+        out = []
+        for k in range(len(names) + 1) if self.rules.gitignore else ():
+            at = os.path.join(self.root, *names[:k])
             try:
-                with open(os.path.join(folder, ".gitignore"), encoding="utf-8", errors="replace") as f:
-                    above = [*above, (folder, Ignore(f.read()))]
+                with open(os.path.join(at, ".gitignore"), encoding="utf-8", errors="replace") as f:
+                    out.append((at, Ignore(f.read())))
             except OSError:
                 pass
+        return out
+
+    def folder(self, folder: str) -> tuple[list[tuple], list[str]]:
+        """Rows of a folder's entries (as SCAN), and the folders below it that are to be listed."""
+        try:
+            entries = sorted(os.scandir(folder), key=lambda e: e.name)
+        except OSError as e:
+            return [(folder, os.path.relpath(folder, self.root), 0, 0, True, FAILED, str(e))], []
+        above, rows, below = self.ignores(folder), [], []
         for e in entries:
-            path, rel = e.path, os.path.relpath(e.path, root).replace(os.sep, "/")
+            path, rel = e.path, os.path.relpath(e.path, self.root).replace(os.sep, "/")
             try:
                 info = e.stat(follow_symlinks=False)
             except OSError as err:
-                if failed is not None:
-                    failed.append((path, "walk_failed", str(err)))
+                rows.append((path, rel, 0, 0, False, FAILED, str(err)))
                 continue
             is_dir = stat.S_ISDIR(info.st_mode)
             ignored = any(g.ignores(os.path.relpath(path, at).replace(os.sep, "/"), is_dir) for at, g in above)
             if stat.S_ISLNK(info.st_mode):
                 reason = "symlink"
             elif is_dir:
-                reason = dir_reason(rel, e.name, ignored)
+                reason = self.dir_reason(rel, e.name, ignored)
                 if reason is None:
-                    yield from visit(path, above)
+                    below.append(path)
                     continue
             elif stat.S_ISREG(info.st_mode):
-                reason = file_reason(rel, e.name, info.st_size, ignored)
+                reason = self.file_reason(rel, e.name, info.st_size, ignored)
             else:
                 continue
-            yield path, rel, info.st_size, info.st_mtime_ns, is_dir, reason
-
-    yield from visit(root, [])
-
-
-SCAN = "path string, rel string, size bigint, mtime bigint, is_dir boolean, reason string"
-
-
-def scan(spark: SparkSession, root: str, rules: Rules | None = None, failed: list | None = None) -> DataFrame:
-    """walk() as rows with NFC paths; candidates have no reason."""
-    import unicodedata
-
-    rows = [(unicodedata.normalize("NFC", p), unicodedata.normalize("NFC", r), *rest) for p, r, *rest in walk(root, rules, failed)]
-    return spark.createDataFrame(rows, SCAN)
+            rows.append((path, rel, info.st_size, info.st_mtime_ns, is_dir, reason, None))
+        return rows, below
+
+    def below(self, folder: str) -> Iterator[tuple]:
+        """Rows of a folder and of all below it."""
+        todo = [folder]
+        while todo:
+            rows, more = self.folder(todo.pop())
+            yield from rows
+            todo += reversed(more)
+
+
+FAILED = "walk_failed"  # the reason of what could not be listed
+SCAN = "path string, rel string, size bigint, mtime bigint, is_dir boolean, reason string, message string"
+
+
+def walk(root: str, rules: Rules | None = None) -> Iterator[tuple[str, str, int, int, bool, str | None, str | None]]:
+    """(path, rel, size, mtime in ns, is_dir, reason, message) of each candidate file (reason None) and each exclusion."""
+    lister = Lister(root, rules)
+    return lister.below(lister.root)
+
+
+def _normal(rows: Iterator[tuple]) -> Iterator[tuple]:
+    return ((unicodedata.normalize("NFC", p), unicodedata.normalize("NFC", r), *rest) for p, r, *rest in rows)
+
+
+def scan(spark: SparkSession, root: str, rules: Rules | None = None, share: int = 256) -> DataFrame:
+    """walk() as rows with NFC paths; candidates have no reason. From `share` folders of one level on, executors go on from there."""
+    lister = Lister(root, rules)
+    rows, level = [], [lister.root]
+    while level and len(level) < share:
+        found = [lister.folder(f) for f in level]
+        rows += [r for own, _ in found for r in own]
+        level = [f for _, more in found for f in more]
+    top = spark.createDataFrame(list(_normal(rows)), SCAN)
+    if not level:
+        return top
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for folder in (f for batch in batches for f in batch.column("folder").to_pylist()):
+            held = _normal(lister.below(folder))
+            while part := list(islice(held, 10_000)):
+                cols = list(zip(*part, strict=True))
+                kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in SCAN.split(", ")])
+
+    folders = spark.createDataFrame([(f,) for f in level], "folder string").repartition(min(len(level), 4 * spark.sparkContext.defaultParallelism))
+    return top.unionByName(map_arrow(folders, run, SCAN))

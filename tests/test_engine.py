@@ -11,7 +11,7 @@ from sievestone.plans.index import IndexError_
 from sievestone.sources import formats
 from sievestone.sources.decode import decode
 from sievestone.sources.embed import hashed_trigrams
-from sievestone.sources.listing import Ignore, Rules, walk
+from sievestone.sources.listing import Ignore, Rules, scan, walk
 
 
 def make(root, files):
@@ -70,18 +70,28 @@ def test_formats():
 
 def test_walk(tmp_path):
     make(tmp_path, {"a.go": "x", "notes.md": "x", ".env": "x", "server.key": "x", "empty.go": "", "yarn.lock": "x", "node_modules/b.go": "x", "sub/.gitignore": "*.go\n!keep.go\n", "sub/c.go": "x", "sub/keep.go": "x", ".git/x.go": "x"})
-    got = {rel: reason for _, rel, _, _, _, reason in walk(str(tmp_path), Rules(ext=["go"]))}
+    got = {rel: reason for _, rel, _, _, _, reason, _ in walk(str(tmp_path), Rules(ext=["go"]))}
     assert got["a.go"] is None and got["sub/keep.go"] is None
     assert {k: got[k] for k in ("notes.md", ".env", "server.key", "empty.go", "yarn.lock", "node_modules", "sub/c.go", ".git")} == {
         "notes.md": "ext", ".env": "hidden", "server.key": "secret", "empty.go": "empty", "yarn.lock": "noisy", "node_modules": "vendor", "sub/c.go": "gitignore", ".git": "hard_excluded",
     }
-    got = {rel: reason for _, rel, _, _, _, reason in walk(str(tmp_path), Rules(include_hidden=[".env"]))}
+    got = {rel: reason for _, rel, _, _, _, reason, _ in walk(str(tmp_path), Rules(include_hidden=[".env"]))}
     assert got[".env"] is None
-    got = {rel: reason for _, rel, _, _, _, reason in walk(str(tmp_path), Rules(include_noisy=["yarn.*"]))}
-    assert got["yarn.lock"] is None and {rel: r for _, rel, _, _, _, r in walk(str(tmp_path), Rules(noisy=[]))}["yarn.lock"] is None
+    got = {rel: reason for _, rel, _, _, _, reason, _ in walk(str(tmp_path), Rules(include_noisy=["yarn.*"]))}
+    assert got["yarn.lock"] is None and {rel: r for _, rel, _, _, _, r, _ in walk(str(tmp_path), Rules(noisy=[]))}["yarn.lock"] is None
     assert Ignore("/a\nb/\n**/c\n").ignores("a", False) and not Ignore("/a").ignores("x/a", False) and not Ignore("b/").ignores("b", False)
 
 
+def test_scan_shares_out_folders(spark, tmp_path):
+    files = {f"d{i}/s{j}/f{k}.md": "x" for i in range(4) for j in range(3) for k in range(2)}
+    make(tmp_path, files | {"d1/.gitignore": "s2/\nf1.md\n!/s0/f1.md\n", "d2/s1/.gitignore": "*.md", "top.md": "x", "d3/node_modules/y.md": "x"})
+    want = sorted(map(str, walk(str(tmp_path))))
+    for share in (1, 3, 8, 256):
+        got = scan(spark, str(tmp_path), share=share)
+        assert sorted(str(tuple(r)) for r in got.collect()) == want
+    assert next(iter(walk(str(tmp_path / "none"))))[5] == "walk_failed"
+
+
 @pytest.fixture
 def engine(spark, tmp_path):
     src = tmp_path / "src"

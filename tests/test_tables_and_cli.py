@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sievestone import cli
 from sievestone.operators.vector_table import VectorTable, declare
-from sievestone.sources.embed import EmbedError, HttpEmbedder, hashed_trigrams, read_npy
+from sievestone.sources.embed import EmbedError, HttpEmbedder, hashed_trigrams, read_blob, read_npy
 
 
 @pytest.mark.parametrize("bad", ["x text", "v float[0]", "v bit[12]", "v bit[8] distance_metric=l1", "v float[4], chunk_size=12", "v float[9000]", "v float[4] distance_metric=dot", "v float[4], " + ", ".join(f"p{i} text partition key" for i in range(5)), "v float[4], k float primary key"])
@@ -83,6 +83,27 @@ def test_npy(spark, tmp_path):
     assert read_npy(spark, str(tmp_path / "none.npy")).count() == 0
 
 
+def test_static_blob(spark):
+    import struct
+
+    got = read_blob(spark, struct.pack("<6f", *range(6)), 3).orderBy("vec_id").collect()
+    assert [list(r.embedding) for r in got] == [[0, 1, 2], [3, 4, 5]]
+    with pytest.raises(ValueError):
+        read_blob(spark, b"1234", 3)
+
+
+def test_filters_follow_types(spark):
+    t = VectorTable(spark, "v float[1], part text partition key, n integer, x float, ok boolean, s text, +note text")
+    rows = [(i, [float(i)], "ab"[i % 2], i, i / 2, i > 1, f"s{i}", "n") for i in range(5)]
+    t = t.insert(spark.createDataFrame(rows, "rowid int, v array<double>, part string, n int, x double, ok boolean, s string, note string"))
+    near = lambda *f: sorted(r.rowid for r in t.knn("v", [0.0], 9, t.where(*f)).collect())
+    assert near(("part", "=", "a"), ("n", ">=", 2)) == [2, 4] and near(("n", "in", [1, 3]), ("ok", "!=", True)) == [1]
+    assert near(("x", "<", 1)) == [0, 1] and near(("s", "in", ["s2"])) == [2] and near() == [0, 1, 2, 3, 4]
+    for bad in (("note", "=", "n"), ("v", "=", 1), ("zz", "=", 1), ("ok", "<", True), ("x", "in", [1.0]), ("n", "like", 1), ("n", "=", "1"), ("n", "=", True), ("ok", "=", 1), ("s", "=", 3)):
+        with pytest.raises(ValueError):
+            t.where(bad)
+
+
 def test_hashed_trigrams():
     a, b, c = hashed_trigrams(["Some text", "some TEXT", "xy"])
     assert a == b and any(a) and not any(c) and sum(map(abs, a)) <= 7

@@ -34,3 +34,11 @@ def test_nothing_imports_llm():
             if n.endswith(".py"):
                 with open(os.path.join(folder, n)) as f:
                     assert not re.search(r"\bllm\b", f.read()), n
+
+
+def test_hashes_of_documents(spark):
+    from sievestone.functions.text import fnv1a64_text
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: r.hash for r in catalog.queries()["fnv1a64"](spark, DATA).collect()}
+    assert got == {i: None if t is None else fnv1a64_text(t.encode()) for i, t in texts.items()}

@@ -13,7 +13,8 @@ sums the counts of all chunks and answers each chunk to be scored with the sums
 in; the chunk's texts go along as word numbers. However common a word is, a chunk sends it once.
 
 Edge cases: null and empty texts have no tokens and a null score. Repeated rows and null ids are kept. Words that
-neither corpus has count as seen no time. Without target texts (or background) that model is uniform. An empty table
+neither corpus has count as seen no time. Other columns are ignored, whatever their names. A very long text is one chunk
+of its own. Ties do not arise. Without target texts (or background) that model is uniform. An empty table
 gives no rows. Two bigrams with one hash would be counted together (one such pair is expected in three billion).
 """
 
@@ -35,6 +36,8 @@ HELD_WORDS = 400_000
 CHUNK_TOKENS, CHUNK_DOCS, BUCKET_BYTES = 2_000_000, 200_000, 8 << 20
 START, UNKNOWN = b"", b" "  # no word has these bytes
 BIGRAM, SECOND, FIRST = 0, 1, 2  # what a key counts: a bigram, a word, a word before another
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, n over all documents (A-Z in lower case); summed in the tasks that read, in bounded tables, then by a shuffle."""
 

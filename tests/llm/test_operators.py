@@ -134,7 +134,7 @@ def test_weights_choose_without_cost():
 @pytest.mark.parametrize("sizes", [[2200] * 90 + [1500] * 90, [3000] * 50 + [1096] * 50, [1] * 300 + [4000] * 40, [4096] * 20 + [1]])
 def test_many_groups_cost_nothing(spark, sizes):
     rows = spark.createDataFrame([(f"d{i}", 0, 0, n, i, "x", 5) for i, n in enumerate(sizes)], "doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint, __g string, offset int")
-    got = packing.pack(rows, group=16).collect()
+    got = packing.pack(rows, group=40).collect()
     by = collections.defaultdict(list)
     for r in got:
         by[r.sequence_id].append((r.offset, r.length))

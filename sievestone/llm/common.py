@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievestone.session import cut, map_arrow, shared_dir, ship, spread  # noqa: F401
+from sievestone.session import cut, held, map_arrow, shared_dir, ship, spread  # noqa: F401
 
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from .common import cut, map_arrow, texts, unused
+from .common import cut, held, map_arrow, texts, unused
 
 #: Words, and parts of words, that a worker keeps for each generation: some 0.7 kB of memory each, against work done twice.
 CACHE, CACHE_BYTES, BLOCK = 500_000, 48 << 20, 3 << 20
@@ -38,7 +38,6 @@ PLAIN = re.compile("^([a-zªµºß-öø-ɏ]+)([.,]?)$|^.*$", re.M)  # of lines i
 PARTS = "'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\\s\\p{L}\\p{N}]+"
 #: Of tokens, documents and attention cost in the residual norm.
 WEIGHTS = (1.0, 0.25, 0.25)
-_ENCODERS: dict[tuple[str, int], WordIds] = {}
 
 
 class Recent:
@@ -128,16 +127,13 @@ class WordIds:
 
 
 def encoder(path: str, cache: int) -> WordIds:
-    """One encoder for each worker process; another cache size replaces it."""
+    """One encoder for each worker process and stage."""
     import gc
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     gc.set_threshold(200_000)  # lists of words are many and form no cycles
-    if (path, cache) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path, cache] = WordIds(path, cache)
-    return _ENCODERS[path, cache]
+    return held((path, cache), lambda: WordIds(path, cache))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False, cache: int = CACHE) -> DataFrame:

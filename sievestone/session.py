@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
+import sys
 import tempfile
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -63,10 +67,52 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: What the tasks of one stage share in a worker process, and that stage.
+_HELD: dict = {}
+_STAGE: list = [None]
+
+
+def held(key, make: Callable):
+    """What make() gave in this worker under the key; it is dropped when the worker starts on another stage."""
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def begin_task() -> None:
+    """Drop what an earlier stage held: workers are used again, also by other operators, and their memory is an executor's."""
+    stage = TaskContext.get().stageId() if TaskContext.get() else None
+    if stage != _STAGE[0]:
+        _STAGE[0] = stage
+        if _HELD:
+            _HELD.clear()
+            give_back()
+
+
+def give_back() -> None:
+    """Return memory that the allocators of this process keep but do not use."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str | StructType) -> DataFrame:
-    """mapInArrow whose workers can import this package; Spark bounds batches in rows and bytes (arrow.maxBytesPerBatch, 64 MB)."""
+    """mapInArrow whose workers can import this package; Spark bounds batches in rows and bytes (arrow.maxBytesPerBatch, 64 MB).
+
+    A worker gives memory back after each task, and what it held for a stage with the next one.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator) -> Iterator:
+        begin_task()
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def arrow_filesystem(uri: str):

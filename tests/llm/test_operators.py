@@ -757,6 +757,22 @@ def test_language_models_of_all_words(spark, monkeypatch):
 
 
 # pipeline ---------------------------------------------------------------------------------------------------------
+def test_workers_drop_what_a_stage_held(spark, docs):
+    from sievestone.session import map_arrow
+
+    def live(batches):
+        import gc
+
+        import pyarrow as pa
+
+        n = sum(type(x).__name__ == "WordIds" for x in gc.get_objects())
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([n] * b.num_rows, pa.int64())], ["n"])
+
+    assert packing.pieces(docs, vocabulary_file(TOKENIZER)).count() > 0
+    assert [r.n for r in map_arrow(spark.range(0, 64, 1, 8), live, "n bigint").distinct().collect()] == [0]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

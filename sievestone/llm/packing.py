@@ -1,7 +1,8 @@
 """Best-fit packing of tokenised documents into sequences of bounded size.
 
 Pieces come from one Arrow pass over the texts; white space always ends a token of the word-end BPE, so ids are cached
-by white-space-delimited word and a document's ids are a join of cached bytes.
+by white-space-delimited word. Arrow numbers the distinct words of a block of texts and joins the ids of all of its
+words, so that Python looks up each distinct word once a block. The cache is dropped when its worker leaves the stage.
 
 Packing is vector best-fit decreasing. A sequence has three capacities (tokens, documents, attention cost = sum of
 squared piece lengths); an item goes where every residual admits it and the weighted residual norm after placing is
@@ -21,18 +22,19 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from .common import cut, held, map_arrow, texts, unused
 
-#: Words, and parts of words, that a worker keeps for each generation: some 0.7 kB of memory each, against work done twice.
-CACHE, CACHE_BYTES, BLOCK = 500_000, 48 << 20, 3 << 20
+#: Words, and parts of words, that a worker keeps for each generation: some 0.7 kB of memory each, against work done twice;
+#: bytes of them; bytes of texts that are cut at once with that many words (fewer with fewer); parts that are encoded at once.
+CACHE, CACHE_BYTES, BLOCK, LOT = 500_000, 48 << 20, 8 << 20, 4096
 #: The tokenizer's own cut of a word. Parts are cut here only for words of Latin letters, where it is sure to be the same.
 PLAIN = re.compile("^([a-zªµºß-öø-ɏ]+)([.,]?)$|^.*$", re.M)  # of lines in lower case: letters and a stop or comma, or anything else
 PARTS = "'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\\s\\p{L}\\p{N}]+"
@@ -66,22 +68,33 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tok, self.words, self.parts, self.cut = Tokenizer.from_file(path), Recent(cache), Recent(cache), regex.compile(PARTS)
+        self.size = max(1 << 20, BLOCK * cache // CACHE)
         ends = {i for w, i in self.tok.get_vocab(with_added_tokens=False).items() if w.endswith("</w>")}
         self.ends = np.array([i in ends for i in range(self.tok.get_vocab_size())])
         with open(path) as f:
             self.known_cut = "|[\\\\p{L}]+|[\\\\p{N}]|" in f.read(4000) and bool(ends)
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text; words are looked up for some megabytes of texts at once."""
+        """The ids of each text; at most self.size bytes of texts at once, or one text."""
         at = 0
         while at < len(texts):
-            lists, size = [], 0
-            while at < len(texts) and size < BLOCK:
-                lists.append(texts[at].split())
+            first, size = at, 0
+            while at < len(texts) and size < self.size:
                 size, at = size + len(texts[at]), at + 1
-            self.learn(self.words.lacking(set(chain.from_iterable(lists))))
-            get = self.words.now.__getitem__
-            yield from (b"".join(map(get, words)) for words in lists)
+            yield from self.block(texts[first:at])
+
+    def block(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Words are cut, numbered and replaced by their ids in Arrow; Python sees each distinct word once."""
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))  # of the bytes that bytes.split() cuts at
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        self.learn(self.words.lacking(set(distinct) - {b""}))
+        known = self.words.now
+        known[b""] = b""  # Arrow's word before leading and after trailing white space
+        ids = pa.array(list(map(known.__getitem__, distinct)), pa.large_binary()).take(words.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[lists.offsets.to_numpy()].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        return (bytes(raw[a:b]) for a, b in zip(ends, ends[1:], strict=False))
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -112,7 +125,8 @@ class WordIds:
         wanted.discard("")
         new = list(self.parts.lacking(wanted))
         if new:  # all at once: each part is one word of the model, and a word's last piece says that it is the last
-            ids = np.array(self.tok.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            lots = [" ".join(new[i : i + LOT]) for i in range(0, len(new), LOT)]
+            ids = np.concatenate([np.array(self.tok.encode_batch_fast([x], add_special_tokens=False)[0].ids, "<u4") for x in lots])
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) == len(new):
                 raw, bounds = ids.tobytes(), (4 * at).tolist()

@@ -156,6 +156,33 @@ def test_word_ids_are_the_tokenizers():
         assert list(own([s.encode(), b""])) == [np.array(tok.encode(s, add_special_tokens=False).ids, "<u4").tobytes(), b""]
 
 
+def test_distinct_words_are_looked_up_once_a_block():
+    class Counted(dict):
+        calls = 0
+
+        def __getitem__(self, key):
+            Counted.calls += 1
+            return super().__getitem__(key)
+
+    from tokenizers import Tokenizer
+
+    path = vocabulary_file(TOKENIZER)
+    tok, own = Tokenizer.from_file(path), packing.WordIds(path)
+    own.words.now = Counted()
+    texts = [" the house, \x0b\x0c the House \r\n" * 500, "", "\t", "the\x1chouse\x85the\u2028the house"] * 2
+    assert list(own([t.encode() for t in texts])) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert Counted.calls <= 10
+
+
+def test_blocks_of_texts():
+    path = vocabulary_file(TOKENIZER)
+    whole, texts = packing.WordIds(path), [(t or "").encode() for _, t in corpus()]
+    own = packing.WordIds(path)
+    own.size = 50
+    assert list(own(texts)) == list(whole(texts)) == [whole.encoded([t.decode()])[0] for t in texts]
+    assert list(own([])) == []
+
+
 # 2 ----------------------------------------------------------------------------------------------------------------
 def test_contamination_brute_force(spark, empty):
     rng = random.Random(9)

@@ -171,8 +171,9 @@ def _bytes(b: Column) -> Column:
 
 
 def quantize_int8(v: Column) -> Column:
-    """From the unit range -1..1 to signed bytes, towards zero."""
-    return F.transform(v, lambda x: (((x + F.lit(1.0).cast("float")) / F.lit(2.0 / 255.0).cast("float")) - 128).cast("int").cast("tinyint"))
+    """From the unit range -1..1 to signed bytes, towards zero; each step is rounded to a float, as `/` alone would be a double."""
+    one, step, low = (F.lit(x).cast("float") for x in (1.0, 2.0 / 255.0, 128.0))
+    return F.transform(v, lambda x: (((x.cast("float") + one) / step).cast("float") - low).cast("int").cast("tinyint"))
 
 
 def quantize_binary(v: Column) -> Column:

@@ -105,3 +105,11 @@ def test_bytes_of_vectors(spark):
     df = spark.createDataFrame([("[1,-128,127]", bytearray(b"\x00\xff\x80\x7f")), ("[200]", bytearray())], "s string, b binary")
     assert [r[0] for r in df.select(V.int8_vector(F.col("s"))).collect()] == [[1, -128, 127], None]
     assert [r[0] for r in df.select(V.int8_blob(F.col("b"))).collect()] == [r[0] for r in df.select(V.bit_blob(F.col("b"))).collect()] == [[0, -1, -128, 127], []]
+
+
+def test_quantize_int8_rounds_each_step_to_floats(spark):
+    import duckdb
+
+    raw = [-0.0980391725897789, -0.13725484907627106, 0.2627451419830322, 0.027451012283563614, -1.0, 1.0]
+    sql = "select list_transform($1::float[], lambda x: trunc((x + 1::float) / (2.0/255)::float - 128::float))"
+    assert one(spark, V.quantize_int8(floats(*raw))) == duckdb.execute(sql, [raw]).fetchone()[0] == [-13, -18, 33, 3, -128, 126]

@@ -84,8 +84,19 @@ def normalize_index(v: Column) -> Column:
 
 
 def to_json(v: Column) -> Column:
-    """[%f,...] with six decimals, NaN as null."""
-    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.when(F.isnan(x), F.lit("null")).otherwise(F.format_string("%.6f", x.cast("double")))), ","), F.lit("]"))
+    """[%f,...] with six decimals, NaN as null.
+
+    As C prints them: the exact binary value is rounded, ties to even, where format_string rounds the shortest decimal half
+    up. Digits after the seventeenth are zeros, which floats have from 2^63 on only.
+    """
+
+    def one(x: Column) -> Column:
+        whole = F.concat(x.cast("bigint").cast("string"), F.lit(".000000"))
+        infinite = F.when(x > 0, "inf").otherwise("-inf")
+        a = F.abs(x)
+        return F.when(F.isnan(x), "null").when(a == float("inf"), infinite).when((a >= 2.0**53) & (a < 2.0**63), whole).otherwise(F.replace(F.format_number(x, 6), F.lit(",")))
+
+    return F.concat(F.lit("["), F.array_join(F.transform(_d(v), one), ","), F.lit("]"))
 
 
 def to_json_int8(v: Column) -> Column:

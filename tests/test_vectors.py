@@ -113,3 +113,9 @@ def test_quantize_int8_rounds_each_step_to_floats(spark):
     raw = [-0.0980391725897789, -0.13725484907627106, 0.2627451419830322, 0.027451012283563614, -1.0, 1.0]
     sql = "select list_transform($1::float[], lambda x: trunc((x + 1::float) / (2.0/255)::float - 128::float))"
     assert one(spark, V.quantize_int8(floats(*raw))) == duckdb.execute(sql, [raw]).fetchone()[0] == [-13, -18, 33, 3, -128, 126]
+
+
+def test_to_json_rounds_as_c_does(spark):
+    raw = [0.0703125, -0.0078125, 0.0234375, 1 / 3, -1e-9, 2.0**53, 1e7 + 1, math.inf, -math.inf]
+    assert one(spark, V.to_json(floats(*raw, math.nan))) == "[" + ",".join("%.6f" % x for x in struct.unpack("9f", struct.pack("9f", *raw))) + ",null]"
+    assert one(spark, V.to_json(F.array(F.lit(0.1234565), F.lit(0.1234575)))) == "[%.6f,%.6f]" % (0.1234565, 0.1234575)

@@ -115,6 +115,33 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str | S
     return df.mapInArrow(run, schema)
 
 
+def pieces(rows, size: int = 1 << 21) -> Iterator:
+    """Slices of a batch or array of at most so many bytes, or of one row.
+
+    A batch has up to 64 MB, and as Python objects several times that in each worker of an executor; of slices, only one is
+    objects at a time.
+    """
+    if len(rows) < 2 or rows.nbytes <= size:
+        yield rows
+    else:
+        half = len(rows) // 2
+        yield from pieces(rows.slice(0, half), size)
+        yield from pieces(rows.slice(half), size)
+
+
+def by_pieces(fn: Callable[[pa.Array], pa.Array]) -> Callable[[pa.Array], pa.Array]:
+    """fn, from an array to one of the same length, over slices; what it leaves free is given back."""
+
+    def run(rows: pa.Array) -> pa.Array:
+        out = [fn(x) for x in pieces(rows)]
+        got = out[0] if len(out) == 1 else pa.concat_arrays(out)
+        del out
+        give_back()
+        return got
+
+    return run
+
+
 def arrow_filesystem(uri: str):
     """The Arrow file system and path of a URI (a bare path is a local one)."""
     from pyarrow import fs

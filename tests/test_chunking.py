@@ -1,7 +1,10 @@
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from sievestone import session
+from sievestone.operators import chunking
 from sievestone.operators.chunking import split, starts
 
 
@@ -61,3 +64,22 @@ def test_invariants(text, size, overlap):
     lines = text.split("\n")
     for body, a, b in split("x.md", text, size, overlap):
         assert len(body) <= size + overlap + 1 and 1 <= a <= b <= len(lines) + 1 and body.strip()
+
+
+def test_pieces_are_bounded_and_in_order():
+    texts = pa.array(["x" * 1000 * (k % 7) for k in range(300)] + [None, "y" * 50_000])
+    batch = pa.RecordBatch.from_arrays([texts, pa.array([[t] * 3 for t in texts.to_pylist()])], ["text", "more"])
+    for rows in (texts, batch, batch.slice(5, 90)):
+        got = list(session.pieces(rows, 20_000))
+        assert [r for g in got for r in g.to_pylist()] == rows.to_pylist() and len(got) > 9
+        assert all(len(g) == 1 or g.nbytes <= 20_000 for g in got)
+    assert session.by_pieces(lambda a: a)(texts).equals(texts) and len(session.by_pieces(lambda a: a)(texts.slice(0, 0))) == 0
+
+
+def test_a_large_batch_of_files_is_chunked_in_pieces(monkeypatch):
+    monkeypatch.setattr(chunking, "map_arrow", lambda df, fn, schema: fn)
+    texts = ["word " * n for n in (0, 1, 5000, 200_000)] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(["/a.md"] * len(texts)), pa.array(texts)], ["path", "text"])
+    out = list(chunking.chunks(type("Files", (), {"select": lambda self, *c: self})())(iter([batch])))
+    assert sum(b.num_rows for b in out) == 20 * sum(len(split("/a.md", t)) for t in texts[:4])
+    assert max(b.nbytes for b in out) < 4 << 20 < batch.nbytes

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, StringType
 
+from ..session import by_pieces
 from .stemming import stem
 
 TOKEN = "[\\p{L}\\p{Nd}]+"
@@ -100,7 +101,7 @@ def py_idents(s: str) -> str:
 
 @arrow_udf(StringType())
 def nfc(s: pa.Array) -> pa.Array:
-    return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in s.to_pylist()], pa.string())
+    return by_pieces(lambda x: pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in x.to_pylist()], pa.string()))(s)
 
 
 FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3  # fixed values

@@ -63,6 +63,7 @@ def match_position(query: str):
 
     from ..functions.stemming import stem
     from ..functions.text import py_fold
+    from ..session import by_pieces
 
     exact, prefixes = set(), []
     for w in regex.findall(r"[\p{L}\p{Nd}*]+", py_fold(query)):
@@ -72,9 +73,8 @@ def match_position(query: str):
             exact.add(stem(w))
     starts = tuple(prefixes)
 
-    @arrow_udf("int")
-    def position(texts: pa.Array) -> pa.Array:
-        known: dict[str, bool] = {}  # of the words of this batch
+    def found(texts: pa.Array) -> pa.Array:
+        known: dict[str, bool] = {}  # of the words of these texts
 
         def matches(word: str) -> bool:
             if word not in known:
@@ -85,6 +85,10 @@ def match_position(query: str):
         words = regex.compile(r"[\p{L}\p{Nd}]+")
         return pa.array([next((m.start() for m in words.finditer(t or "") if matches(m[0])), None) for t in texts.to_pylist()], pa.int32())
 
+    @arrow_udf("int")
+    def position(texts: pa.Array) -> pa.Array:
+        return by_pieces(found)(texts)
+
     return position
 
 

@@ -18,8 +18,8 @@ from ..functions import vectors as V
 from ..operators import chunking, filters, fusion, incremental, knn, lexical, postprocess
 from ..operators.parsing import parse_query
 from ..operators.vector_table import VectorTable
-from ..session import ship, spread
-from ..sources.decode import decode
+from ..session import by_pieces, ship, spread
+from ..sources.decode import decode_all
 from ..sources.embed import embed, hashed_trigrams
 from ..sources.formats import html_text
 
@@ -525,15 +525,8 @@ def _(t):
 
 @query("decode_utf8", "select doc_id, 'utf-8' as encoding, md5(nfc_normalize(text)) as text from documents")
 def _(t):
-    from pyspark.sql.functions import arrow_udf
-
-    @arrow_udf("struct<encoding: string, text: string>")
-    def decoded(raw: pa.Array) -> pa.Array:
-        got = [decode(x or b"") for x in raw.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([g and g[1] for g in got], pa.string()), pa.array([g and g[0] for g in got], pa.string())], ["encoding", "text"])
-
-    rows = _texts(t).select("doc_id", decoded(F.col("text").cast("binary")).alias("d"))
-    return rows.select("doc_id", "d.encoding", F.md5(F.col("d.text").cast("binary")).alias("text"))
+    rows = decode_all(_texts(t).select("doc_id", F.col("text").cast("binary").alias("raw")), "raw", "doc_id")
+    return rows.select("doc_id", "encoding", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
 @query("chunk_documents")
@@ -551,11 +544,14 @@ def _(t):
 def _(t):
     from pyspark.sql.functions import arrow_udf
 
-    @arrow_udf("string")
-    def extracted(pages: pa.Array) -> pa.Array:
+    def texts(pages: pa.Array) -> pa.Array:
         known = pages.dictionary_encode()  # equal pages are parsed once
         return pa.array([html_text(x or "") for x in known.dictionary.to_pylist()] + [html_text("")], pa.string()).take(pc.fill_null(known.indices, len(known.dictionary)))
 
+    @arrow_udf("string")
+    def extracted(pages: pa.Array) -> pa.Array:
+        return by_pieces(texts)(pages)
+
     return spread(t("pages")).select("page_id", extracted(F.col("html")).alias("text"))
 
 

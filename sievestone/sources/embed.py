@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..session import arrow_filesystem, map_arrow
+from ..session import arrow_filesystem, map_arrow, pieces
 
 BATCH = 32
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -76,7 +76,7 @@ def embed(chunks: DataFrame, embedder: Embedder, prefix: str = "", keys: tuple[s
     kinds = ", ".join(f"{k} {chunks.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces(b)):
             texts, out = [prefix + (t or "") for t in batch.column("text").to_pylist()], []
             for k in range(0, len(texts), BATCH):
                 out += map(unit, embedder(texts[k : k + BATCH]))

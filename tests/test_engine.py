@@ -3,11 +3,14 @@ import json
 import os
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievestone.api import Engine
 from sievestone.plans.index import IndexError_
+from sievestone.sources import decode as decoding
 from sievestone.sources import formats
 from sievestone.sources.decode import decode
 from sievestone.sources.embed import hashed_trigrams
@@ -208,3 +211,15 @@ def test_json_answers(engine):
     make(src, {"docs/guide.md": "# Changed in the meantime\n"})
     shown = json.loads(e.show_json(ref))
     assert [w["code"] for w in shown["warnings"]] == ["modified"] and len(shown["chunks"]) == 1
+
+
+def test_a_large_batch_is_decoded_in_pieces(monkeypatch):
+    schema = {"id": T.StructField("id", T.LongType())}
+    monkeypatch.setattr(decoding, "map_arrow", lambda df, fn, kinds: (fn, kinds))
+    run, kinds = decoding.decode_all(type("Rows", (), {"select": lambda self, *c: self, "schema": schema})(), "raw", "id")
+    raw = [b"plain " * 100_000, None, b"\x00\x01", "é".encode() * 9, "Привет, как дела".encode("cp1251")] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(raw, pa.binary())], ["id", "raw"])
+    out = list(run(iter([batch])))
+    assert kinds == "id bigint, encoding string, text string"
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == [(i, *(decode(x or b"") or (None, None))[::-1]) for i, x in enumerate(raw)]
+    assert max(b.nbytes for b in out) < 4 << 20 < batch.nbytes

@@ -6,17 +6,18 @@ What Catalyst can express is built in; stems, NFC and FNV-1a go through Arrow ba
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from ..session import by_pieces
+from ..session import by_pieces, map_arrow, pieces
 from .stemming import stem
 
 TOKEN = "[\\p{L}\\p{Nd}]+"
@@ -47,9 +48,10 @@ def idents(s: Column) -> Column:
     return F.flatten(F.transform(parts, lambda p: F.concat(p, F.array(F.array_join(p, "")))))
 
 
-@lru_cache(maxsize=1 << 18)
 def strip_latin(token: str) -> str:
     """A token without the combining marks of its ASCII-based letters; others, й too, stay."""
+    if token.isascii():
+        return token
     out = []
     for c in token:
         d = unicodedata.normalize("NFD", c)
@@ -57,19 +59,38 @@ def strip_latin(token: str) -> str:
     return "".join(out)
 
 
-@arrow_udf(ArrayType(StringType()))
-def stems(t: pa.Array) -> pa.Array:
-    """Stems of arrays of folded tokens, Latin diacritics stripped after stemming; order and count stay.
+@lru_cache(maxsize=1 << 18)
+def stripped_stem(token: str) -> str:
+    """A folded token's stem without Latin diacritics; the only cache of a worker that stems columns."""
+    return strip_latin(stem.__wrapped__(token))
 
-    A batch's tokens are encoded as a dictionary, so each distinct token is stemmed once.
-    """
+
+def stem_lists(t: pa.Array) -> pa.Array:
+    """Stems of arrays of tokens; they are encoded as a dictionary, so each distinct token is stemmed once."""
     offsets = t.offsets
     first, last = offsets[0].as_py(), offsets[-1].as_py()
     coded = t.values.slice(first, last - first).dictionary_encode()
-    words = pa.array([None if w is None else strip_latin(stem(w)) for w in coded.dictionary.to_pylist()], pa.string())
+    words = pa.array([None if w is None else stripped_stem(w) for w in coded.dictionary.to_pylist()], pa.string())
     return pa.ListArray.from_arrays(pc.subtract(offsets, first), words.take(coded.indices), mask=t.is_null())
 
 
+@arrow_udf(ArrayType(StringType()))
+def stems(t: pa.Array) -> pa.Array:
+    """Stems of arrays of folded tokens, Latin diacritics stripped after stemming; order and count stay."""
+    return by_pieces(stem_lists)(t)
+
+
+def stemmed(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows with stems() of columns of token arrays, piece by piece: no worker holds the stems of a whole batch."""
+    schema = StructType([StructField(f.name, ArrayType(StringType())) if f.name in columns else f for f in rows.schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in pieces(b, 1 << 23)):
+            yield pa.RecordBatch.from_arrays([stem_lists(c) if n in columns else c for n, c in zip(batch.schema.names, batch.columns, strict=True)], batch.schema.names)
+
+    return map_arrow(rows, run, schema)
+
+
 def stem_text(s: str) -> str:
     """Stems of a text, joined by spaces."""
     return " ".join(stem(t) for t in py_tokens(py_fold(s)))

@@ -126,7 +126,8 @@ def _(t):
 
 @query("stemmed_search")
 def _(t):
-    docs = _texts(t).select("doc_id", T.stems(T.tokens(F.col("text"))).alias("body"), T.stems(T.tokens(_path())).alias("path"), T.stems(T.idents(F.col("text"))).alias("ids"))
+    words = _texts(t).select("doc_id", T.tokens(F.col("text")).alias("body"), T.tokens(_path()).alias("path"), T.idents(F.col("text")).alias("ids"))
+    docs = T.stemmed(words, "body", "path", "ids")
     return _top(lexical.scan(docs, parse_query("thing with"), lexical.WEIGHTS, ["doc_id"]))
 
 

@@ -72,3 +72,19 @@ def test_hashes_of_batches(spark):
     got = {r.i: (r.h, r.n) for r in df.select("i", T.fnv1a64(F.col("s")).alias("h"), T.nfc(F.concat("s", F.lit("e\u0301"))).alias("n")).collect()}
     assert got == {i: (None, None) if t is None else (T.fnv1a64_text(t.encode()), unicodedata.normalize("NFC", t + "e\u0301")) for i, t in enumerate(texts)}
     assert T.fnv1a64_all(pa.array(texts).slice(3, 4)) == [T.fnv1a64_text(t.encode()) for t in texts[3:7]] and T.fnv1a64_all(pa.array([], pa.string())) == []
+
+
+def test_a_large_batch_is_stemmed_in_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    lists = [["running", "thés", None, "работали"] * n for n in (1, 30, 0, 100_000)] * 20 + [None]
+    df = spark.createDataFrame([(1, ["running", None, "thés"], None), (2, None, []), (3, [], ["cats"])], "id long, a array<string>, b array<string>")
+    want = df.select("id", T.stems("a").alias("a"), T.stems("b").alias("b")).collect()
+    assert sorted(T.stemmed(df, "a", "b").collect()) == sorted(want) and want[0].a == ["run", None, "thes"]
+    monkeypatch.setattr(T, "map_arrow", lambda rows, fn, schema: fn)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lists))), pa.array(lists)], ["id", "a"])
+    out = list(T.stemmed(df.select("id", "a"), "a")(iter([batch])))
+    got = [r["a"] for b in out for r in b.to_pylist()]
+    assert [r["id"] for b in out for r in b.to_pylist()] == list(range(len(lists))) and got[0] == ["run", "thes", None, "работа"] and got[-1] is None
+    assert [g and len(g) for g in got] == [x and len(x) for x in lists]
+    assert max(b.nbytes for b in out) < 16 << 20 < batch.nbytes

@@ -72,19 +72,31 @@ def scan(docs: DataFrame, phrases: list[Phrase], weights: dict[str, float], keep
     return hits.select(*keep, score.alias("score"))
 
 
-def postings(docs: DataFrame, key: str, columns: dict[str, str], phrases: list[Phrase] | None = None) -> DataFrame:
+def postings(docs: DataFrame, key: str, columns: dict[str, str], phrases: list[Phrase] | None = None, stats: Observation | None = None) -> DataFrame:
     """term, col, key, positions, dl (tokens in all arrays): one row for each term in each token array; columns: name of the
     posting column by array.
 
-    phrases: only terms that these need, filtered before anything is grouped.
+    phrases: only terms that these need, filtered before anything is grouped. stats: observes n (how many docs there are) and
+    avg (their mean dl, those with a null array left out) in the same pass.
+
+    As in frequencies(), the arrays are bound once for each row, so that they are made once and docs are read once.
     """
-    dl = reduce(lambda a, b: a + b, (F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0)) for c in columns)).alias("dl")
-    parts = [docs.select(key, dl, F.lit(name).alias("col"), F.posexplode(array).alias("pos", "term")) for array, name in columns.items()]
+
+    def bound(x: Column) -> Column:
+        own = [x.getField(f"a{i}") for i in range(len(columns))]
+        dl = reduce(lambda a, b: a + b, (F.coalesce(F.greatest(F.size(a), F.lit(0)), F.lit(0)) for a in own)).alias("dl")
+        parts = F.array(*(F.struct(F.lit(name).alias("col"), a.alias("tokens")) for a, name in zip(own, columns.values(), strict=True)))
+        return F.struct(dl, reduce(lambda a, b: a + b, map(F.size, own)).alias("size"), parts.alias("parts"))
+
+    arrays = F.struct(*(F.col(c).alias(f"a{i}") for i, c in enumerate(columns)))
+    rows = docs.select(key, F.inline(F.transform(F.array(arrays), bound)))
+    if stats is not None:
+        rows = rows.observe(stats, F.count(F.lit(1)).alias("n"), F.avg("size").alias("avg"))
+    places = rows.select(key, "dl", F.inline("parts")).select(key, "dl", "col", F.posexplode("tokens").alias("pos", "term"))
     if phrases is not None:
         whole = sorted({t for p in phrases if not p.prefix for t in p.terms})
-        wanted = reduce(lambda a, b: a | b, (F.col("term").startswith(p.terms[0]) for p in phrases if p.prefix), F.col("term").isin(whole))
-        parts = [p.filter(wanted) for p in parts]
-    return reduce(DataFrame.unionByName, parts).groupBy("term", "col", key).agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.first("dl").alias("dl"))
+        places = places.filter(reduce(lambda a, b: a | b, (F.col("term").startswith(p.terms[0]) for p in phrases if p.prefix), F.col("term").isin(whole)))
+    return places.groupBy("term", "col", key).agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.first("dl").alias("dl"))
 
 
 def search(posts: DataFrame, corpus: tuple[int, float], phrases: list[Phrase], key: str, weights: dict[str, float]) -> DataFrame:

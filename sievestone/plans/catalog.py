@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -18,7 +18,7 @@ from ..functions import vectors as V
 from ..operators import chunking, filters, fusion, incremental, knn, lexical, postprocess
 from ..operators.parsing import parse_query
 from ..operators.vector_table import VectorTable
-from ..session import by_pieces, ship, spread
+from ..session import by_pieces, cut, ship, spread
 from ..sources.decode import decode_all
 from ..sources.embed import embed, hashed_trigrams
 from ..sources.formats import html_text
@@ -119,9 +119,9 @@ def _(t):
 def _(t):
     docs = _texts(t).select("doc_id", T.tokens(F.col("text")).alias("body"))
     wanted = parse_query('"of the" that', stemmed=False)
-    posts = lexical.postings(docs, "doc_id", {"body": "body"}, wanted)
-    corpus = docs.agg(F.count("*"), F.avg(F.size("body"))).first()
-    return _top(lexical.search(posts, tuple(corpus), wanted, "doc_id", {"body": 1.0}))
+    stats = Observation()
+    posts = cut(lexical.postings(docs, "doc_id", {"body": "body"}, wanted, stats))  # each term reads them again
+    return _top(lexical.search(posts, (stats.get["n"], stats.get["avg"] or 0.0), wanted, "doc_id", {"body": 1.0}))
 
 
 @query("stemmed_search")

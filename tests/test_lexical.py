@@ -87,3 +87,15 @@ def test_postings_of_a_query(spark):
     docs = spark.createDataFrame([(1, ["aa", "bb", "cc"]), (2, ["bb", "bbx", "aa"])], "id int, body array<string>")
     got = {r.term for r in lexical.postings(docs, "id", {"body": "body"}, parse_query('"aa bb" bbx*', False)).collect()}
     assert got == {"aa", "bb", "bbx"}
+
+
+def test_postings_and_statistics_in_one_pass(spark):
+    from pyspark.sql import Observation
+
+    rows = [(1, ["aa", "bb", "aa"], ["bb"]), (2, None, ["aa"]), (3, [], None), (4, ["cc"], [])]
+    docs = spark.createDataFrame(rows, "id int, b array<string>, p array<string>")
+    stats = Observation()
+    posts = lexical.postings(docs, "id", {"b": "body", "p": "path"}, parse_query("aa c*", False), stats)
+    assert "Union" not in posts._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, posts.select("id", "col", "term", "positions", "dl").collect())) == [(1, "body", "aa", [0, 2], 4), (2, "path", "aa", [0], 1), (4, "body", "cc", [0], 1)]
+    assert stats.get == {"n": 4, "avg": 2.5}
